@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from typing import Any
 
-from pyspark.sql import Column, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CJK = r"[一-鿿]"
 STOP_CJK = (
@@ -18,7 +21,8 @@ STOP_ENGLISH = (
     "about also and are been being could for from had has have into just more most not only ours should such than that the "
     "their them then there these this those use used using via was were what when where which will with would your"
 ).split()
-PHRASE_PATTERNS = (CJK + "{2,8}", r"(?U)\b(?:[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)+)\b", r"(?U)\b[A-Za-z][A-Za-z0-9_\-]{3,}\b")
+_PATTERNS = tuple(map(re.compile, (CJK + "{2,8}", r"\b(?:[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)+)\b", r"\b[A-Za-z][A-Za-z0-9_\-]{3,}\b")))
+_STOP_CJK, _STOP_ENGLISH = frozenset(STOP_CJK), frozenset(STOP_ENGLISH)
 
 
 def strip(text: Column) -> Column:
@@ -69,7 +73,7 @@ def count_tokens(text: Column) -> Column:
     n = F.length(text)
     cjk = n - F.length(F.regexp_replace(text, CJK, ""))
     word = F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)))
-    return F.when(n == 0, 0).when(cjk >= F.greatest(F.lit(1), F.floor(n / 4)), n).otherwise(F.greatest(F.lit(1), word)).cast("int")
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 0).when(cjk >= F.greatest(F.lit(1), F.floor(n / 4)), n).otherwise(F.greatest(F.lit(1), word)).cast("int")
 
 
 def truncate_tokens(text: Column, most: Column | int) -> Column:
@@ -90,22 +94,28 @@ def window_pieces(text: Column, size: int, overlap: int) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(F.filter(cut, lambda p: p != ""))
 
 
-def noun_phrases(text: Column, most: int = 40) -> Column:
-    """Candidate names of a text, the most frequent first, then longer ones, then earlier ones.
+def phrases_of(text: str | None, most: int = 40) -> list[str]:
+    """Candidate names of one text, the most frequent first, then longer ones, then earlier ones.
 
-    CJK runs and single words that are stop words are left out. Of phrases with one normalised form the first counts. All
-    within the row, so no phrase is shuffled.
+    CJK runs and single words that are stop words are left out. Of phrases with one normalised form the first counts.
     """
-    text = strip(F.coalesce(text, F.lit("")))
-    cjk, multi, word = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in PHRASE_PATTERNS)
-    stop_cjk, stop = (F.array(*map(F.lit, words)) for words in (STOP_CJK, STOP_ENGLISH))
-    found = F.concat(F.filter(cjk, lambda p: ~F.array_contains(stop_cjk, p)), multi, F.filter(word, lambda p: ~F.array_contains(stop, F.lower(p))))
-    ranked = F.transform(
-        F.array_distinct(found), lambda p, i: F.struct((F.size(F.array_remove(found, p)) - F.size(found)).alias("n"), (-F.length(p)).alias("l"), i.alias("i"), p.alias("p"), norm_title(p).alias("k"))
-    )
-    ranked = F.array_sort(ranked)
-    first = F.filter(ranked, lambda s, i: (s["k"] != "") & (F.array_position(F.transform(ranked, lambda t: t["k"]), s["k"]) == i + 1))
-    return F.slice(F.transform(first, lambda s: s["p"]), 1, most)
+    cjk, several, single = (p.findall(text or "") for p in _PATTERNS)
+    found = [p for p in cjk if p not in _STOP_CJK] + several + [p for p in single if p.lower() not in _STOP_ENGLISH]
+    out: dict[str, str] = {}
+    for phrase, _ in sorted(Counter(found).items(), key=lambda x: (-x[1], -len(x[0]))):
+        key = "".join(phrase.split()).lower().replace("ß", "ss")
+        if key and len(out) < most:
+            out.setdefault(key, phrase)
+    return list(out.values())
+
+
+def noun_phrases(text: Column, most: int = 40) -> Column:
+    """`phrases_of` for each row, by Arrow batches: as higher-order functions this is quadratic, as a join it shuffles the text."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: phrases_of(t, most))
+
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))(F.coalesce(text, F.lit("")))
 
 
 def keywords(text: Column, most: int = 12) -> Column:
@@ -195,6 +205,13 @@ def history_block(history: str | None) -> str:
     return f"Conversation so far:\n{told}\n\n" if told else ""
 
 
+def history_of(turns: DataFrame) -> DataFrame:
+    """(conv_id, block) for each conversation: its turns in order, each as role and text, under the heading of a history."""
+    line = F.concat_ws(": ", F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit("")))
+    told = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    return told.select("conv_id", F.concat(F.lit("Conversation so far:\n"), strip(F.array_join(F.transform("t", lambda x: x["line"]), "\n")), F.lit("\n\n")).alias("block"))
+
+
 def register(spark: SparkSession) -> None:
     """The keys and counts as SQL functions: norm_title, text_tokens, cosine."""
     spark.sql(r"""create or replace temporary function norm_title(t string) returns string

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given:
+        given = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
+        spark.conf.set("spark.checkpoint.dir", given)
+    return given
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    """A checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import entity_id, norm_title, noun_phrases, relation_id, snippet
+from weftgraph.lineage import cut
 
 
 def unit_phrases(units: DataFrame, most: int = 24) -> DataFrame:
-    """Units with the array `phrases` of (title, norm_title), at most `most`, the best first."""
-    made = F.transform(noun_phrases(F.col("text"), most), lambda p: F.struct(p.alias("title"), norm_title(p).alias("norm_title")))
-    return units.select("id", "unit_ord", "text", made.alias("phrases"))
+    """Units with the array `phrases` of (title, norm_title), at most `most`, the best first, and the beginning of the text."""
+    made = F.transform("names", lambda p: F.struct(p.alias("title"), norm_title(p).alias("norm_title")))
+    return units.select("id", "unit_ord", snippet(F.col("text"), 180).alias("text"), noun_phrases(F.col("text"), most).alias("names")).select("id", "unit_ord", "text", made.alias("phrases"))
 
 
 def exploded_phrases(phrases: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def entities(phrases: DataFrame, min_frequency: int = 1) -> DataFrame:
     seen = F.struct("unit_ord", "phrase_rank")
     units = F.array_sort(F.collect_set(F.struct("unit_ord", "unit_id")))
     grouped = rows.groupBy("norm_title").agg(
-        F.count("*").alias("frequency"), F.min_by("title", seen).alias("title"), F.min(seen).alias("first"), units.alias("units"), F.min(F.struct("unit_ord", "snippet")).alias("s")
+        F.count("*").alias("frequency"), F.min_by("title", seen).alias("title"), F.min(seen).alias("first"), units.alias("units")
     )
     # only the ids are gathered for all units; texts are fetched for the first three
     grouped = grouped.filter(F.col("frequency") >= min_frequency)
@@ -86,6 +87,6 @@ def relationships(phrases: DataFrame, kept: DataFrame) -> DataFrame:
 
 def extract_graph(units: DataFrame, *, min_frequency: int = 1, most_phrases: int = 24) -> tuple[DataFrame, DataFrame]:
     """Entities and relationships of the units."""
-    phrases = unit_phrases(units, most_phrases)
+    phrases = cut(unit_phrases(units, most_phrases))  # read three times
     kept = entities(phrases, min_frequency)
     return kept, relationships(phrases, kept)

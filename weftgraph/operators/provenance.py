@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import norm_title
+from weftgraph.operators.subgraph import touching
 
 NONE = "array<string>"
 
@@ -68,15 +69,18 @@ def titled(units: DataFrame, documents: DataFrame) -> DataFrame:
 def entity_sources(model: dict[str, DataFrame], key: str) -> DataFrame:
     """The text units of an entity in order, with document and preview."""
     wanted = resolve_entity(model["entities"], key).select(F.posexplode("text_unit_ids").alias("place", "id"))
-    found = titled(model["chunks"].join(F.broadcast(wanted), "id"), model["documents"])
+    found = titled(model["chunks"].join(wanted, "id"), model["documents"])
     return found.select("place", F.col("id").alias("text_unit_id"), "document_id", "document_title", "n_tokens", "text", F.substring("text", 1, 240).alias("preview"))
 
 
 def entity_relationships(model: dict[str, DataFrame], key: str, most: int = 40) -> DataFrame:
     """Relationships at an entity or in one of its text units, the first `most` of them."""
-    entity = F.broadcast(resolve_entity(model["entities"], key).select(F.col("norm_title").alias("_t"), F.col("text_unit_ids").alias("_u")))
-    touches = (F.col("norm_source") == F.col("_t")) | (F.col("norm_target") == F.col("_t")) | F.arrays_overlap("text_unit_ids", "_u")
-    return model["relationships"].join(entity, touches, "left_semi").orderBy("ord", "id").limit(most)
+    entity = resolve_entity(model["entities"], key)
+    relations = model["relationships"]
+    at = touching(relations, entity).select("id")
+    units = entity.select(F.explode("text_unit_ids").alias("unit_id"))
+    beside = relations.select("id", F.explode("text_unit_ids").alias("unit_id")).join(units, "unit_id", "left_semi").select("id")
+    return relations.join(at.union(beside).distinct(), "id", "left_semi").orderBy("ord", "id").limit(most)
 
 
 def unit_graph(model: dict[str, DataFrame], unit_id: str) -> DataFrame:
@@ -89,7 +93,7 @@ def unit_graph(model: dict[str, DataFrame], unit_id: str) -> DataFrame:
     }
     parts = []
     for kind, (table, ids, title) in shown.items():
-        wanted = F.broadcast(unit.select(F.posexplode(ids).alias("place", "id")))
+        wanted = unit.select(F.posexplode(ids).alias("place", "id"))
         parts.append(model[table].join(wanted, "id").select(F.lit(kind).alias("kind"), "place", "id", title.alias("title"), "description"))
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -105,8 +109,8 @@ def document_units(model: dict[str, DataFrame], key: str) -> DataFrame:
     document = resolve_document(model["documents"], key)
     listed = document.select(F.explode("text_unit_ids").alias("id"))
     units = model["chunks"]
-    named = units.join(F.broadcast(document.select(F.col("id").alias("document_id"))), "document_id", "left_semi").select("id")
-    return units.join(F.broadcast(listed.union(named).distinct()), "id", "left_semi")
+    named = units.join(document.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("id")
+    return units.join(listed.union(named).distinct(), "id", "left_semi")
 
 
 def document_entities(model: dict[str, DataFrame], key: str) -> DataFrame:
@@ -118,9 +122,9 @@ def document_entities(model: dict[str, DataFrame], key: str) -> DataFrame:
 def citations(model: dict[str, DataFrame], units: DataFrame, entity_ids: list[str]) -> DataFrame:
     """For units (id, place): document, the titles of those of `entity_ids` that they hold, and a preview."""
     asked = units.groupBy("id").agg(F.min("place").alias("place"))
-    own = titled(model["chunks"].join(F.broadcast(asked), "id"), model["documents"])
+    own = titled(model["chunks"].join(asked, "id"), model["documents"])
     seeds = model["entities"].filter(F.col("id").isin(entity_ids)).select(F.col("id").alias("entity_id"), F.col("title").alias("entity_title"))
-    held = own.select("id", F.posexplode("entity_ids").alias("p", "entity_id")).join(F.broadcast(seeds), "entity_id")
+    held = own.select("id", F.posexplode("entity_ids").alias("p", "entity_id")).join(seeds, "entity_id")
     held = held.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "entity_title"))), lambda s: s["entity_title"]).alias("supports"))
     return own.join(held, "id", "left").select(
         "place", F.col("id").alias("text_unit_id"), "document_id", "document_title", F.coalesce("supports", F.array().cast(NONE)).alias("supports_entities"), F.substring("text", 1, 280).alias("preview")
@@ -129,7 +133,7 @@ def citations(model: dict[str, DataFrame], units: DataFrame, entity_ids: list[st
 
 def sources_block(model: dict[str, DataFrame], units: DataFrame, most_titles: int = 8) -> DataFrame:
     """(place, line) for units (id, place): id, document, entities and text."""
-    own = titled(model["chunks"].join(F.broadcast(units), "id"), model["documents"])
+    own = titled(model["chunks"].join(units, "id"), model["documents"])
     names = model["entities"].select(F.col("id").alias("entity_id"), F.col("title").alias("entity_title"))
     held = own.select("id", F.posexplode(F.slice("entity_ids", 1, most_titles)).alias("p", "entity_id")).join(names, "entity_id")
     held = held.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "entity_title"))), lambda s: s["entity_title"]).alias("titles"))

@@ -17,7 +17,11 @@ _DDL = {
     "reports": f"id string, community_id string, level int, title string, summary string, full_content string, rank double, embedding array<float>, entity_ids {_ids}, ord bigint",
     "entity_edges": "src_id string, dst_id string, description string, weight double",
 }
-SCHEMAS: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES: dict[str, T.DataType] = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), _ids: T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+#: Parsed here, as Spark's own parser needs a running session.
+SCHEMAS: dict[str, T.StructType] = {name: T.StructType([T.StructField(*f.split(" ")[:1], _TYPES[f.split(" ")[1]]) for f in ddl.split(", ")]) for name, ddl in _DDL.items()}
 #: Values of columns that a stored row lacks or has as null.
 DEFAULTS = {("entities", "type"): "UNKNOWN", ("entities", "rank"): 1.0, ("relationships", "weight"): 1.0, ("relationships", "rank"): 1.0, ("covariates", "type"): "claim", ("covariates", "status"): "TRUE"}
 
