@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from typing import Any
 
 import numpy as np
@@ -70,7 +71,10 @@ class ListIndex:
         return cls(spark, path)
 
     def search(self, query: list[float], k: int, probes: int | None = None) -> DataFrame:
-        """(id, score) of the k nearest within the lists whose centres are nearest to the query."""
+        """(id, score) of the k nearest within the lists whose centres are nearest to the query.
+
+        Unless told otherwise, 7 of 10 lists at least are read: vectors without clusters need that for a recall of 0.9.
+        """
         check_dimension(self.meta["dim"], len(query))
         centres, q = np.array(self.meta["centres"]), np.array(query, float)
         if self.meta["metric"] == "cosine":
@@ -79,7 +83,7 @@ class ListIndex:
             near = np.linalg.norm(centres - q, axis=1)
         else:
             near = -(centres @ q)
-        chosen = [int(i) for i in np.argsort(near, kind="stable")[: probes or self.meta["probes"]]]
+        chosen = [int(i) for i in np.argsort(near, kind="stable")[: probes or max(self.meta["probes"], math.ceil(0.7 * len(centres)))]]
         rows = self.spark.read.parquet(f"{self.path}/lists").filter(F.col("list_id").isin(chosen))
         return exact_top(rows, query, k, metric=self.meta["metric"]).select("id", "score")
 

@@ -64,8 +64,8 @@ def build_model(
     edges = communities.entity_graph(model["entities"], model["relationships"])
     model["entities"] = conform(communities.with_communities(communities.rank_entities(model["entities"], edges), members), "entities")
     model["communities"], model["entity_edges"] = found, communities.entity_edges(model["entities"], model["relationships"])
-    model = provenance.link(model)
-    model["reports"] = reports.community_reports(model, llm) if with_reports and llm is not None else empty(spark, "reports")
+    model = {name: cut(rows) if name in ("chunks", "entities", "documents") else rows for name, rows in provenance.link(model).items()}
+    model["reports"] = cut(reports.community_reports(model, llm)) if with_reports and llm is not None else empty(spark, "reports")
     if with_reports and llm is not None:  # a community is called as its report is
         named = model["reports"].select(F.col("community_id").alias("id"), F.col("title").alias("_t"))
         model["communities"] = model["communities"].join(named, "id", "left").withColumn("title", F.coalesce("_t", "title")).drop("_t")
