@@ -262,6 +262,41 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.dedup_lines(given.limit(0)).count() == 0
 
 
+def test_planted_passages_are_removed_whole(spark):
+    """Every passage of 50 to 200 words goes, all but its first copy, whatever surrounds it; nothing else does."""
+    rng = np.random.default_rng(8)
+    parts = [" ".join(" ".join(rng.choice(WORDS, n)) + "." for n in rng.integers(3, 40, 20)).split(". ") for _ in range(12)]
+    passages = [". ".join(x[: 1 + next(i for i in range(20) if sum(len(s.split()) for s in x[: i + 1]) >= 50)]).rstrip(".") + "." for x in parts]
+    passages.append(" ".join(rng.choice(WORDS, 60)) + ".")
+    rows, want = [], {}
+    for i in range(60):
+        mine = passages[i % len(passages)]
+        head, tail = prose(9 * int(rng.integers(1, 9)), 500 + i), prose(9 * int(rng.integers(1, 9)), 900 + i)
+        rows.append((i, f"{head} {mine} {tail}", "s"))
+        want[i] = rows[-1][1] if i < len(passages) else f"{head} {tail}"
+    report = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows), report=True).collect()}
+    assert {i: r["text"] for i, r in report.items()} == want
+    assert all(r["removed_words"] == len(rows[i][1].split()) - len(want[i].split()) and r["removed_chunks"] == (i >= len(passages)) for i, r in report.items())
+    assert all(r["first_ids"] == ([i % len(passages)] if i >= len(passages) else []) for i, r in report.items())
+
+
+def test_repeated_runs_match_brute_force(spark):
+    """Texts over few lines: a line goes if some run that holds it, and is long enough, stands somewhere earlier."""
+    rng = np.random.default_rng(9)
+    lines = [" ".join(rng.choice(WORDS, n)) + "\n" for n in (1, 2, 3, 5, 8, 11, 12, 20, 49, 50, 70)]
+    made = [[lines[k] for k in rng.integers(0, len(lines), rng.integers(1, 12))] for _ in range(40)]
+    runs = lambda x: [(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if (n := sum(len(s.split()) for s in x[a:b])) >= 50 or n >= 12 and b - a > 1]
+    seen, want = set(), {}
+    for i, x in enumerate(made):
+        gone = set()
+        for a, b in runs(x):
+            gone |= set(range(a, b)) if "".join(x[a:b]) in seen else set()
+            seen.add("".join(x[a:b]))
+        want[i] = "".join(s for k, s in enumerate(x) if k not in gone)
+    report = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(i, "".join(x), "s") for i, x in enumerate(made)]), report=True, most_removed=1.0).collect()}
+    assert {i: t or "" for i, t in report.items()} == want and len({*want.values()}) > 20
+
+
 # 10 Toxicity
 def test_held_out_accuracy(spark):
     """Against labels of which some are wrong; the README has the figures measured."""

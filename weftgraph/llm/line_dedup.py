@@ -1,8 +1,10 @@
-"""Removal of repeated multi-line passages by content-defined chunks of lines.
+"""Removal of repeated multi-line passages by content-defined runs of lines.
 
-A text is cut into logical lines: at line feeds and, within a line, after sentence ends. A rolling hash over the hashes of
-the last lines decides where a chunk ends, so insertions elsewhere shift nothing. Chunks of several lines that occur more
-than once in the whole corpus are removed, all but the first occurrence, once their bytes have been compared.
+A text is cut into logical lines: at line feeds and, within a line, after sentence ends. From each line on, and up to each
+line, the shortest run that is long enough is a candidate, whatever stands around it. Candidates that occur more than once in
+the whole corpus are removed, all but the first occurrence, once their bytes have been compared. Together they cover every
+repeated passage of that length, from its first whole line to its last. `repeated_chunks` reports chunks that don't overlap,
+ended by a rolling hash over the last lines.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from weftgraph.llm import scratch
 from weftgraph.llm.textkernel import _MULT, U, Block, blocks, mix, prefix_sums, span_hash
 
 WINDOW, DIVISOR, MAX_LINES, MIN_LINES, MIN_WORDS = 2, 2, 64, 2, 12
+#: A run of so many words is long enough even if it is a single line.
+LONG_WORDS = 50
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -137,11 +141,81 @@ def repeated_chunks(
     )
 
 
+def run_bounds(before: np.ndarray, row: np.ndarray, min_lines: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the shortest runs from each line on and up to each line, each run once.
+
+    `before` holds the words before each line, and all of them at its end. A run has `min_lines` lines and `min_words` words, or
+    `long_words` words, and lies within a row.
+    """
+    n = len(row)
+    line = np.arange(n)
+    last = np.maximum(np.searchsorted(before, before[:-1] + min_words) - 1, line + min_lines - 1)
+    last = np.maximum(np.minimum(last, np.searchsorted(before, before[:-1] + long_words) - 1), line)
+    fits = (last < n) & (row[np.minimum(last, n - 1)] == row)
+    first = np.minimum(np.searchsorted(before, before[1:] - min_words, "right") - 1, line - min_lines + 1)
+    first = np.minimum(np.maximum(first, np.searchsorted(before, before[1:] - long_words, "right") - 1), line)
+    back = (first >= 0) & (row[np.maximum(first, 0)] == row)
+    back &= ~(fits[first] & (last[first] == line))
+    return np.concatenate([line[fits], first[back]]), np.concatenate([last[fits], line[back]])
+
+
+def _runs(min_lines: int, min_words: int, long_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column(2)):
+                if not len(b.data):
+                    continue
+                row, start, end = logical_lines(b)
+                data = b.data
+                space = _SPACE[data]
+                trimmed = end - space[end - 1]
+                begins = ~space
+                begins[1:] &= space[:-1]
+                begins[b.offsets[:-1][b.offsets[:-1] < len(data)]] = True
+                seen = np.concatenate([[0], np.cumsum(begins & ~space)])
+                first, last = run_bounds(seen[np.append(start, len(data))], row, min_lines, min_words, long_words)
+                s, e, r = start[first], trimmed[last], row[first]
+                h1 = span_hash(prefix_sums(data), s, e)
+                with np.errstate(over="ignore"):
+                    h2 = span_hash(prefix_sums((data * np.uint8(167)) ^ np.uint8(0x5B)), s, e) * _MULT
+                index, begin = pa.array(r + b.first), b.offsets[r]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(index), batch.column(1).take(index), *(pa.array((x - begin).astype(np.int32)) for x in (s, e, end[last])), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                    names=["doc_id", "th", "begin", "stop", "end", "h1", "h2"],
+                )
+
+    return run
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """Later occurrences of runs of lines, which may overlap: (doc_id, th, begin, end, first_id), as in `repeated_chunks`.
+
+    Runs have `min_lines` lines and `min_words` words, or `long_words` words. All lines of a repeated passage that is such a run
+    are covered, whatever stands before and after it. Hashes choose the runs whose bytes are then read and compared.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    runs = base.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_runs(min_lines, min_words, long_words), "doc_id long, th long, begin int, stop int, end int, h1 long, h2 long")
+    again = runs.withColumn("n", F.count("*").over(Window.partitionBy("h1", "h2"))).filter("n > 1")
+    again = scratch.written(again.groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "stop", "end", "h1", "h2")).alias("spans")), "runs", free=True)
+    texts = base.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("data"))
+    a, t = again.alias("a"), texts.alias("t")
+    read = a.join(t, F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.th") == F.col("t.th"))).select(
+        "a.doc_id", "a.th", F.explode(F.expr("transform(spans, s -> struct(s.begin, s.end, s.h1, s.h2, substring(data, s.begin + 1, s.stop - s.begin) as bytes))")).alias("s")
+    )
+    in_order = Window.partitionBy("h1", "h2", "bytes").orderBy("doc_id", "th", "begin")
+    firsts = [F.first(c).over(in_order).alias(f"first_{c}") for c in ("doc_id", "th", "begin")]
+    return (
+        read.select("doc_id", "th", "s.*").select("doc_id", "th", "begin", "end", *firsts)
+        .filter("not (doc_id <=> first_doc_id and th = first_th and begin = first_begin)")
+        .select("doc_id", "th", "begin", "end", F.col("first_doc_id").alias("first_id"))
+    )
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first column is the text, the second and third the begins and ends to cut out, or null."""
     for batch in batches:
         texts, begins, ends = batch.column(0), batch.column(1), batch.column(2)
-        done, left = [], []
+        done, left, gone, spans = [], [], [], []
         for b in blocks(texts):
             n = len(b.offsets) - 1
             own = begins.slice(b.first, n)
@@ -157,55 +231,59 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin_word = ~space
             begin_word[1:] &= space[:-1]
             begin_word[b.offsets[:-1][b.offsets[:-1] < len(b.data)]] = True
-            word = np.concatenate([[0], np.cumsum(begin_word & ~space & keep)])
+            begin_word &= ~space
+            head = ~keep
+            head[1:] &= keep[:-1]
+            inner = b.offsets[:-1][b.offsets[:-1] < len(b.data)]
+            head[inner] = ~keep[inner]
+            for made, marks in ((left, begin_word & keep), (gone, begin_word & ~keep), (spans, head)):
+                made.append(np.diff(np.concatenate([[0], np.cumsum(marks)])[b.offsets]))
             kept = np.concatenate([[0], np.cumsum(keep)])[b.offsets]
             done.append(pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(b.data[keep]))]).cast(pa.string()))
-            left.append(np.diff(word[b.offsets]))
         text = pa.concat_arrays(done) if done else pa.array([], pa.string())
         if texts.null_count:
             text = pa.compute.if_else(pa.compute.is_valid(texts), text, pa.scalar(None, pa.string()))
-        words = pa.array(np.concatenate(left) if left else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([text, words], names=["text", "words"]), *batch.columns[3:]], names=["cut", *batch.schema.names[3:]])
+        counts = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (left, gone, spans)]
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([text, *counts], names=["text", "words", "gone", "spans"]), *batch.columns[3:]], names=["cut", *batch.schema.names[3:]])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str | None = None, most_removed: float = 0.8, report: bool = False, **chunking: int) -> DataFrame:
-    """`docs` with repeated chunks cut out of the texts, whole rows and all other columns kept.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str | None = None, most_removed: float = 0.8, report: bool = False, **least: int) -> DataFrame:
+    """`docs` with repeated runs of lines cut out of the texts, whole rows and all other columns kept.
 
     A document is dropped if nothing but white space is left, or if more than `most_removed` of its words were repeated, so
     that only scraps of a copy would stay. `length_col` is set to the new number of characters. With `report`, the result is
     instead (doc_id, text, removed_chunks, removed_words, first_ids) for every document, dropped ones having a null text;
-    first_ids lists the documents that hold the first occurrences.
+    first_ids lists the documents that hold the first occurrences, and removed_chunks counts passages without a gap. `least` are
+    the lengths that `repeated_runs` takes.
 
     Null and empty texts stay as they are; so do rows that are equal in id and text to one another, which count as one
     document. Any other columns, whatever their names, pass through. An empty table gives an empty result.
     """
-    gone = repeated_chunks(docs, id_col, text_col, **chunking)
+    gone = repeated_runs(docs, id_col, text_col, **least)
     gone = scratch.written(gone.groupBy("doc_id", "th").agg(
-        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sum("words").alias("words"), F.sort_array(F.collect_set("first_id")).alias("first_ids")
-    ), "repeats")
-    gone = gone.select(
-        F.col("doc_id").alias("gone_id"), "th", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"), F.size("spans").alias("chunks"), F.col("words").alias("gone_words"), "first_ids"
-    )
+        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sort_array(F.collect_set("first_id")).alias("first_ids")
+    ), "repeats", free=True)
+    gone = gone.select(F.col("doc_id").alias("gone_id"), "th", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"), "first_ids")
     row = docs.select(F.struct(*docs.columns).alias("row"))
     text = F.col("row").getField(text_col)
     joined = row.join(gone, F.col("row").getField(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text.cast("string")) == F.col("th")), "left")
     plain = [c for c in docs.columns if c != text_col]
     rest = F.struct(*[F.col("row").getField(c).alias(c) for c in plain]).alias("rest")
-    fed = joined.select(text.cast("string").alias("text"), "begins", "ends", rest, "chunks", "gone_words", "first_ids")
+    fed = joined.select(text.cast("string").alias("text"), "begins", "ends", rest, "first_ids")
     kept_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fed.schema.fields[4:])
     rest_type = fed.schema["rest"].dataType.simpleString()
-    cut = fed.mapInArrow(_cut, f"cut struct<text: string, words: bigint>, rest {rest_type}, {kept_types}")
-    new, left, dropped = F.col("cut.text"), F.col("cut.words"), F.coalesce("gone_words", F.lit(0))
-    drop = F.col("gone_words").isNotNull() & ((left == 0) | (dropped > most_removed * (left + dropped)))
+    cut = fed.mapInArrow(_cut, f"cut struct<text: string, words: bigint, gone: bigint, spans: bigint>, rest {rest_type}, {kept_types}")
+    new, left, dropped = F.col("cut.text"), F.col("cut.words"), F.col("cut.gone")
+    drop = (F.col("cut.spans") > 0) & ((left == 0) | (dropped > most_removed * (left + dropped)))
     if report:
         return cut.select(
             F.col("rest").getField(id_col).cast("long").alias("doc_id"),
-            F.when(~F.coalesce(drop, F.lit(False)), new).alias("text"),
-            F.coalesce("chunks", F.lit(0)).cast("long").alias("removed_chunks"),
-            dropped.cast("long").alias("removed_words"),
+            F.when(~drop, new).alias("text"),
+            F.col("cut.spans").alias("removed_chunks"),
+            dropped.alias("removed_words"),
             F.coalesce("first_ids", F.array().cast("array<bigint>")).alias("first_ids"),
         )
     made = {text_col: new.cast(docs.schema[text_col].dataType)}
     if length_col and length_col in docs.columns:
         made[length_col] = F.length(new).cast(docs.schema[length_col].dataType)
-    return cut.filter(~F.coalesce(drop, F.lit(False))).select(*[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
+    return cut.filter(~drop).select(*[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])

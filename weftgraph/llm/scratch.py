@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, list[str]] = {}
 
 
@@ -35,11 +36,18 @@ def path(spark: SparkSession, name: str) -> str:
     return made
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df`, computed once, written and read again."""
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """The rows of `df`, computed once, written and read again. With `free`, its shuffle files are then deleted at once."""
     spark = df.sparkSession
     at = path(spark, name)
-    df.write.parquet(at)
+    before = spark.conf.get(FREE, None)
+    if free:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        if free:
+            spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
