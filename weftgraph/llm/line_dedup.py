@@ -247,11 +247,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([text, *counts], names=["text", "words", "gone", "spans"]), *batch.columns[3:]], names=["cut", *batch.schema.names[3:]])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str | None = None, most_removed: float = 0.8, report: bool = False, **least: int) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str | None = None, report: bool = False, **least: int) -> DataFrame:
     """`docs` with repeated runs of lines cut out of the texts, whole rows and all other columns kept.
 
-    A document is dropped if nothing but white space is left, or if more than `most_removed` of its words were repeated, so
-    that only scraps of a copy would stay. `length_col` is set to the new number of characters. With `report`, the result is
+    A document is dropped only if nothing but white space is left, so no text is lost that stands nowhere else. `length_col` is set to the new number of characters. With `report`, the result is
     instead (doc_id, text, removed_chunks, removed_words, first_ids) for every document, dropped ones having a null text;
     first_ids lists the documents that hold the first occurrences, and removed_chunks counts passages without a gap. `least` are
     the lengths that `repeated_runs` takes.
@@ -273,14 +272,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fed.schema.fields[4:])
     rest_type = fed.schema["rest"].dataType.simpleString()
     cut = fed.mapInArrow(_cut, f"cut struct<text: string, words: bigint, gone: bigint, spans: bigint>, rest {rest_type}, {kept_types}")
-    new, left, dropped = F.col("cut.text"), F.col("cut.words"), F.col("cut.gone")
-    drop = (F.col("cut.spans") > 0) & ((left == 0) | (dropped > most_removed * (left + dropped)))
+    new = F.col("cut.text")
+    drop = (F.col("cut.spans") > 0) & (F.col("cut.words") == 0)
     if report:
         return cut.select(
             F.col("rest").getField(id_col).cast("long").alias("doc_id"),
             F.when(~drop, new).alias("text"),
             F.col("cut.spans").alias("removed_chunks"),
-            dropped.alias("removed_words"),
+            F.col("cut.gone").alias("removed_words"),
             F.coalesce("first_ids", F.array().cast("array<bigint>")).alias("first_ids"),
         )
     made = {text_col: new.cast(docs.schema[text_col].dataType)}
