@@ -303,6 +303,14 @@ def test_line_dedup_keeps_what_stands_nowhere_else(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(given).collect()} == {1: shared, 2: own}
 
 
+def test_line_dedup_of_cjk_prose(spark):
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join("".join(chr(0x4E00 + k) for k in rng.integers(0, 9000, 15)) + str(rng.choice(list("。！？"))) for _ in range(n))
+    shared, own = text(6), text(4)
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(1, shared, "s"), (2, own[:32] + shared + own[32:], "s")])).collect()}
+    assert out == {1: shared, 2: own}
+
+
 # 10 Toxicity
 def test_held_out_accuracy(spark):
     """Against labels of which some are wrong; the README has the figures measured."""

@@ -1,6 +1,6 @@
 """Removal of repeated multi-line passages by content-defined runs of lines.
 
-A text is cut into logical lines: at line feeds and, within a line, after sentence ends. From each line on, and up to each
+A text is cut into logical lines: at line feeds and, within a line, after sentence ends, CJK ones too. From each line on, and up to each
 line, the shortest run that is long enough is a candidate, whatever stands around it. Candidates that occur more than once in
 the whole corpus are removed, all but the first occurrence, once their bytes have been compared. Together they cover every
 repeated passage of that length, from its first whole line to its last. `repeated_chunks` reports chunks that don't overlap,
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import scratch
-from weftgraph.llm.textkernel import _MULT, U, Block, blocks, mix, prefix_sums, span_hash
+from weftgraph.llm.textkernel import _MULT, U, Block, blocks, mix, prefix_sums, span_hash, words
 
 WINDOW, DIVISOR, MAX_LINES, MIN_LINES, MIN_WORDS = 2, 2, 64, 2, 12
 #: A run of so many words is long enough even if it is a single line.
@@ -26,6 +26,15 @@ LONG_WORDS = 50
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+_FULL_STOPS = tuple("。！？".encode()[i : i + 3] for i in (0, 3, 6))
+
+
+def word_begins(block: Block) -> np.ndarray:
+    """Whether a word begins at each byte, CJK characters being words of their own."""
+    begins = np.zeros(len(block.data), bool)
+    begins[words(block).start] = True
+    return begins
+
 
 def logical_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, begin and end of each logical line; the lines of a row cover its bytes without a gap."""
@@ -35,6 +44,8 @@ def logical_lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends[1:] = data == 10
     stop = (data == 46) | (data == 33) | (data == 63)
     ends[2:] |= stop[:-1] & (data[1:] == 32)
+    for a, b, c in _FULL_STOPS:
+        ends[3:] |= (data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)
     ends[offsets] = True
     at = np.flatnonzero(ends)
     start, end = at[:-1], at[1:]
@@ -85,10 +96,7 @@ def _chunks(window: int, divisor: int, max_lines: int, min_lines: int, min_words
                 prefix = prefix_sums(data)
                 ends = chunk_bounds(span_hash(prefix, start, trimmed), row, window, divisor, max_lines)
                 heads = np.concatenate([[0], ends[:-1] + 1])
-                begins = ~space
-                begins[1:] &= space[:-1]
-                begins[b.offsets[:-1][b.offsets[:-1] < len(data)]] = True
-                seen = np.concatenate([[0], np.cumsum(begins & ~space)])
+                seen = np.concatenate([[0], np.cumsum(word_begins(b))])
                 s, e, r = start[heads], trimmed[ends], row[heads]
                 good = (ends - heads + 1 >= min_lines) & (seen[e] - seen[s] >= min_words)
                 s, e, r, cut_end, count = s[good], e[good], r[good], end[ends][good], (seen[e] - seen[s])[good]
@@ -169,10 +177,7 @@ def _runs(min_lines: int, min_words: int, long_words: int):
                 data = b.data
                 space = _SPACE[data]
                 trimmed = end - space[end - 1]
-                begins = ~space
-                begins[1:] &= space[:-1]
-                begins[b.offsets[:-1][b.offsets[:-1] < len(data)]] = True
-                seen = np.concatenate([[0], np.cumsum(begins & ~space)])
+                seen = np.concatenate([[0], np.cumsum(word_begins(b))])
                 first, last = run_bounds(seen[np.append(start, len(data))], row, min_lines, min_words, long_words)
                 s, e, r = start[first], trimmed[last], row[first]
                 h1 = span_hash(prefix_sums(data), s, e)
@@ -236,7 +241,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head[1:] &= keep[:-1]
             inner = b.offsets[:-1][b.offsets[:-1] < len(b.data)]
             head[inner] = ~keep[inner]
-            for made, marks in ((left, begin_word & keep), (gone, begin_word & ~keep), (spans, head)):
+            for made, marks in ((left, begin_word & keep), (gone, word_begins(b) & ~keep), (spans, head)):
                 made.append(np.diff(np.concatenate([[0], np.cumsum(marks)])[b.offsets]))
             kept = np.concatenate([[0], np.cumsum(keep)])[b.offsets]
             done.append(pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(b.data[keep]))]).cast(pa.string()))
