@@ -85,14 +85,78 @@ def test_near_duplicates_match_brute_force(spark):
     assert pairs(got) <= pairs(want) and len(pairs(got)) >= 0.9 * len(pairs(want))
 
 
+def shingle_loop(text, k):
+    w = words(next(blocks(pa.array([text])))).hash.tolist()
+    out = []
+    for run in [w[j : j + k] for j in range(len(w) - k + 1)] if len(w) >= k else [w] * bool(w):
+        x = 0
+        for v in run:
+            x = (x * 0x100000001B3 + v) % (1 << 64)
+        out.append(int(mix(np.array([x], U))[0]))
+    return out
+
+
+def test_shingles_of_blocks_of_few_words():
+    few = "a bb ccc dddd ee fff".split()
+    for rows in range(1, 7):
+        for lengths in itertools.product(range(7), repeat=rows) if rows < 4 else RNG.integers(0, 7, (60, rows)).tolist():
+            texts = [" ".join(few[:n]) for n in lengths]
+            w = words(next(blocks(pa.array(texts))))
+            made, row = shingles(w.hash, w.row, rows, 5)
+            assert sorted(zip(row.tolist(), made.tolist())) == sorted((i, x) for i, t in enumerate(texts) for x in shingle_loop(t, 5))
+
+
+def test_short_texts_beside_a_huge_one(spark):
+    rows = [(1, " ".join(f"{WORDS[i % 900]}{i}" for i in range(110_000)), "a"), (2, "third text", "a"), (3, "alpha beta gamma delta epsilon zeta", "a"), (4, "a b c", "a"), (5, "third text", "a")]
+    assert len(rows[0][1]) > 1 << 20
+    for part in (rows, rows[1:2]):
+        got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(docs(spark, part).coalesce(1)).collect()}
+        assert got == {i: 2 if i == 5 else i for i, _, _ in part}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     given = odd(spark)
-    groups = near_dedup.near_duplicates(given)
-    got = {r["doc_id"]: r["group_id"] for r in groups.collect()}
+    got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(given).collect()}
     assert set(got) == set(range(1, 10)) and got[5] == 4 and all(got[i] == i for i in (1, 2, 3, 4, 6, 7, 8, 9))
-    kept = near_dedup.keep_first(given, groups)
+    kept = near_dedup.drop_near_duplicates(given)
     assert kept.columns == given.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
-    assert near_dedup.near_duplicates(given.limit(0)).count() == 0
+    assert near_dedup.near_duplicates(given.limit(0)).count() == 0 and near_dedup.drop_near_duplicates(given.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    rows = [(1, prose(80, 1), "a"), (5, prose(80, 1), "b"), (5, prose(80, 2), "a"), (5, prose(80, 2), "b"), (6, prose(80, 2) + " more", "a"), (7, prose(80, 3), "a"), (7, prose(80, 4), "a")]
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in near_dedup.drop_near_duplicates(docs(spark, rows[::-1])).collect()]
+    assert sorted(kept) == sorted([rows[0], rows[2], rows[5], rows[6]])
+
+
+def test_a_full_bucket_is_cut_into_chunks(spark):
+    """100 000 nodes of one band, each alike to few others: every alike pair is found, whatever the size of a chunk."""
+    m, rng = 63, np.random.default_rng(4)
+    base = rng.integers(0, 256, (40, m), dtype=np.uint8)
+    rows = [(int(i), [7, 1000 + i], base[i % 40].tobytes()) for i in range(2000)]
+    nodes = spark.createDataFrame(rows, "node long, bands array<long>, small binary")
+    for bucket in (1 << 15, 300):
+        pairs = {(r["a"], r["b"]) for r in near_dedup.candidates(nodes, m, 0.31, 0.69, bucket).collect()}
+        assert {i: min(a for a, b in [*pairs, (i, i)] if b == i) % 40 for i in range(2000)} == {i: i % 40 for i in range(2000)}
+        groups = {r["node"]: r["root"] for r in near_dedup.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+        assert groups == {i: i % 40 for i in range(2000)}
+    many = spark.range(100_000).selectExpr("id as node", "array(7L) as bands", f"unhex('{'ab' * m}') as small")
+    assert near_dedup.candidates(many, m, 0.31, 0.69, 1 << 13).select("b").distinct().count() == 99_999
+
+
+def test_links_do_not_depend_on_blocks(spark):
+    rows, base = [], prose(120, 9).split()
+    for i in range(60):
+        changed = list(base)
+        for k in range(i % 7 * 2):
+            changed[(k * 37 + i * 11) % 120] = f"w{i}"
+        rows.append((i, " ".join(changed), "s"))
+    given = docs(spark, rows)
+    texts = given.selectExpr("doc_id", "xxhash64(text) as th", "text")
+    nodes = given.selectExpr("doc_id as node", "doc_id", "xxhash64(text) as th", "length(text) as size")
+    pairs = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a long, b long")
+    found = [sorted(tuple(r) for r in near_dedup.components(near_dedup.verified(pairs, nodes, texts, 5, 0.5, size)).collect()) for size in (1 << 22, 2000)]
+    assert found[0] == found[1] and len(found[0]) > 30
 
 
 def test_components_of_a_long_chain(spark):

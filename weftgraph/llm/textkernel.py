@@ -148,12 +148,13 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[
     full = np.ones(n, bool)
     total = np.zeros(n, U)
     with np.errstate(over="ignore"):
-        for t in range(k):
+        for t in range(min(k, n)):  # beyond n no row has a word
             inside = place + t < counts[row]
             shifted = np.zeros(n, U)
             shifted[: n - t] = hashes[t:]
             total = np.where(inside, total * U(0x100000001B3) + shifted, total)
             full &= inside
+    full &= counts[row] >= k
     full |= (counts[row] < k) & (place == 0)
     return mix(total[full]), row[full]
 
