@@ -23,13 +23,13 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return near_dedup.keep_first(docs, near_dedup.near_duplicates(docs))
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of all sources in equal parts by tokens."""
     chosen = scratch.written(mixing.mix_sources(docs).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "chosen")
-    return near_dedup.one_per_id(docs.join(chosen, "doc_id", "left_semi").select(*docs.columns), docs, "doc_id")
+    return near_dedup.one_per_text(docs.join(chosen, "doc_id", "left_semi").select(*docs.columns), docs, "doc_id", "text")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
