@@ -1,10 +1,11 @@
-"""Removal of repeated multi-line passages by content-defined runs of lines.
-
-A text is cut into logical lines: at line feeds and, within a line, after sentence ends, CJK ones too. From each line on, and up to each
-line, the shortest run that is long enough is a candidate, whatever stands around it. Candidates that occur more than once in
-the whole corpus are removed, all but the first occurrence, once their bytes have been compared. Together they cover every
-repeated passage of that length, from its first whole line to its last. `repeated_chunks` reports chunks that don't overlap,
-ended by a rolling hash over the last lines.
+"""Removal of repeated multi-line passages by content-defined chunks of lines.
+
+A text is cut into logical lines: at line feeds and, within a line, after sentence ends, CJK ones too. `repeated_chunks` cuts
+these into chunks that don't overlap, ended by a rolling hash over the last lines; a repeated passage of a few lines often holds
+no whole chunk. `repeated_runs` therefore lets a chunk end at every line: from each line on, and up to each line, the shortest
+run that is long enough is a candidate, whatever stands around it. Candidates that occur more than once in the whole corpus are
+removed, all but the first occurrence, once their bytes have been compared. Together they cover every repeated passage of that
+length, from its first whole line to its last.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import scratch
-from weftgraph.llm.textkernel import _MULT, U, Block, blocks, mix, prefix_sums, span_hash, words
+from weftgraph.llm.textkernel import U, Block, blocks, mix, prefix_sums, span_hash, words
 
 WINDOW, DIVISOR, MAX_LINES, MIN_LINES, MIN_WORDS = 2, 2, 64, 2, 12
 #: A run of so many words is long enough even if it is a single line.
@@ -83,70 +84,87 @@ def chunk_bounds(line: np.ndarray, row: np.ndarray, window: int, divisor: int, m
     return np.flatnonzero(cut)
 
 
+def pack(begin: np.ndarray, stop: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A span as one number that sorts by its begin; `end` is `stop` or, after white space, one more."""
+    return begin << 32 | stop << 1 | end - stop
+
+
+#: The same in SQL.
+BEGIN, STOP = "cast(shiftright(span, 32) as int)", "cast(shiftright(span & 4294967295, 1) as int)"
+SPANS = "doc_id long, th long, span long, h long"
+
+
+def _lines(b: Block) -> tuple[np.ndarray, ...]:
+    """Row, begin, end without white space, end and words before each line, the last with one more for the end of all."""
+    row, start, end = logical_lines(b)
+    seen = np.concatenate([[0], np.cumsum(word_begins(b))])
+    return row, start, end - _SPACE[b.data][end - 1], end, seen[np.append(start, len(b.data))]
+
+
 def _chunks(window: int, divisor: int, max_lines: int, min_lines: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(2)):
                 if not len(b.data):
                     continue
-                row, start, end = logical_lines(b)
-                data = b.data
-                space = _SPACE[data]
-                trimmed = end - space[end - 1]
-                prefix = prefix_sums(data)
-                ends = chunk_bounds(span_hash(prefix, start, trimmed), row, window, divisor, max_lines)
-                heads = np.concatenate([[0], ends[:-1] + 1])
-                seen = np.concatenate([[0], np.cumsum(word_begins(b))])
-                s, e, r = start[heads], trimmed[ends], row[heads]
-                good = (ends - heads + 1 >= min_lines) & (seen[e] - seen[s] >= min_words)
-                s, e, r, cut_end, count = s[good], e[good], r[good], end[ends][good], (seen[e] - seen[s])[good]
-                mark = np.zeros(len(data) + 1, np.int8)
-                np.add.at(mark, s, 1)
-                np.add.at(mark, e, -1)
-                inside = np.cumsum(mark[:-1], dtype=np.int8) > 0
-                where = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32)
-                h1 = span_hash(prefix, s, e)
-                with np.errstate(over="ignore"):
-                    h2 = span_hash(prefix_sums((data * np.uint8(167)) ^ np.uint8(0x5B)), s, e) * _MULT
-                index = pa.array(r + b.first)
-                begin = b.offsets[r]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(index),
-                        batch.column(1).take(index),
-                        pa.array((s - begin).astype(np.int32)),
-                        pa.array((cut_end - begin).astype(np.int32)),
-                        pa.array(count.astype(np.int32)),
-                        pa.array(h1.view(np.int64)),
-                        pa.array(h2.view(np.int64)),
-                        pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data[inside]))]),
-                    ],
-                    names=["doc_id", "th", "begin", "end", "words", "h1", "h2", "bytes"],
-                )
+                row, start, trimmed, end, seen = _lines(b)
+                prefix = prefix_sums(b.data)
+                last = chunk_bounds(span_hash(prefix, start, trimmed), row, window, divisor, max_lines)
+                first = np.concatenate([[0], last[:-1] + 1])
+                good = (last - first + 1 >= min_lines) & (seen[last + 1] - seen[first] >= min_words)
+                yield _found(batch, b, prefix, row, start, trimmed, end, first[good], last[good])
 
     return run
 
 
+def _found(batch: pa.RecordBatch, b: Block, prefix: np.ndarray, row: np.ndarray, start: np.ndarray, trimmed: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    s, e, r = start[first], trimmed[last], row[first]
+    index, begin = pa.array(r + b.first), b.offsets[r]
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(index), batch.column(1).take(index), pa.array(pack(s - begin, e - begin, end[last] - begin)), pa.array(span_hash(prefix, s, e).view(np.int64))], names=["doc_id", "th", "span", "h"]
+    )
+
+
+def _later(spans: DataFrame, base: DataFrame) -> DataFrame:
+    """Later occurrences of spans (doc_id, th, span, h): (doc_id, th, begin, end, first_id).
+
+    Hashes are counted over the whole corpus by partial sums; bytes are read for those alone that occur again. The first of
+    equal bytes is found by partial minima too, and the others are joined to it by hash, a join that Spark splits where one hash
+    is hot; so no task holds all occurrences of a passage.
+    """
+    spans = scratch.written(spans, "spans")
+    twice = spans.groupBy("h").count().filter("count > 1").select("h")
+    again = spans.join(twice, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("span", "h")).alias("spans"))
+    again = scratch.written(again, "again", free=True)
+    scratch.drop(spans)
+    a, t = again.alias("a"), base.select("doc_id", "th", F.col("text").cast("binary").alias("data")).alias("t")
+    read = a.join(t, F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.th") == F.col("t.th"))).select("a.doc_id", "a.th", "data", F.explode("spans").alias("s"))
+    read = read.select("doc_id", "th", "s.span", "s.h", "data").select("doc_id", "th", "span", "h", F.expr(f"substring(data, {BEGIN} + 1, {STOP} - {BEGIN})").alias("bytes"))
+    read = scratch.written(read, "bytes", free=True)
+    firsts = read.groupBy("h", "bytes").agg(F.min(F.struct("doc_id", "th", "span")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = read.join(firsts.select("h", F.col("bytes").alias("first_bytes"), "first"), "h")
+    later = later.filter("bytes = first_bytes and not (doc_id <=> first.doc_id and th = first.th and span = first.span)")
+    later = scratch.written(later.selectExpr("doc_id", "th", f"{BEGIN} as begin", f"{STOP} + cast(span & 1 as int) as end", "first.doc_id as first_id"), "later", free=True)
+    scratch.drop(again, read)
+    return later
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    return base.select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
 def repeated_chunks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, divisor: int = DIVISOR, max_lines: int = MAX_LINES, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """Later occurrences of chunks: (doc_id, th, begin, end, words, first_id), byte positions in the UTF-8 text.
+    """Later occurrences of chunks: (doc_id, th, begin, end, first_id), byte positions in the UTF-8 text.
 
     th is a hash of the text, which tells rows of one id but different texts apart. The first occurrence is that of the least
     id, then th, then position. Chunks of fewer lines or words than asked for are never reported. Rows equal in id and text
     count as one. Null and empty texts have no chunks; null ids come first in the order.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    chunks = base.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
-        _chunks(window, divisor, max_lines, min_lines, min_words), "doc_id long, th long, begin int, end int, words int, h1 long, h2 long, bytes binary"
-    )
-    in_order = Window.partitionBy("h1", "h2").orderBy("doc_id", "th", "begin")
-    firsts = [F.first(c).over(in_order).alias(f"first_{c}") for c in ("doc_id", "th", "begin", "bytes")]
-    return (
-        chunks.select("doc_id", "th", "begin", "end", "words", "bytes", *firsts)
-        .filter("bytes = first_bytes and not (doc_id <=> first_doc_id and th = first_th and begin = first_begin)")
-        .select("doc_id", "th", "begin", "end", "words", F.col("first_doc_id").alias("first_id"))
-    )
+    base = _base(docs, id_col, text_col)
+    return _later(base.mapInArrow(_chunks(window, divisor, max_lines, min_lines, min_words), SPANS), base)
 
 
 def run_bounds(before: np.ndarray, row: np.ndarray, min_lines: int, min_words: int, long_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,23 +189,10 @@ def _runs(min_lines: int, min_words: int, long_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(2)):
-                if not len(b.data):
-                    continue
-                row, start, end = logical_lines(b)
-                data = b.data
-                space = _SPACE[data]
-                trimmed = end - space[end - 1]
-                seen = np.concatenate([[0], np.cumsum(word_begins(b))])
-                first, last = run_bounds(seen[np.append(start, len(data))], row, min_lines, min_words, long_words)
-                s, e, r = start[first], trimmed[last], row[first]
-                h1 = span_hash(prefix_sums(data), s, e)
-                with np.errstate(over="ignore"):
-                    h2 = span_hash(prefix_sums((data * np.uint8(167)) ^ np.uint8(0x5B)), s, e) * _MULT
-                index, begin = pa.array(r + b.first), b.offsets[r]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(index), batch.column(1).take(index), *(pa.array((x - begin).astype(np.int32)) for x in (s, e, end[last])), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                    names=["doc_id", "th", "begin", "stop", "end", "h1", "h2"],
-                )
+                if len(b.data):
+                    row, start, trimmed, end, seen = _lines(b)
+                    first, last = run_bounds(seen, row, min_lines, min_words, long_words)
+                    yield _found(batch, b, prefix_sums(b.data), row, start, trimmed, end, first, last)
 
     return run
 
@@ -198,22 +203,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Runs have `min_lines` lines and `min_words` words, or `long_words` words. All lines of a repeated passage that is such a run
     are covered, whatever stands before and after it. Hashes choose the runs whose bytes are then read and compared.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    runs = base.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_runs(min_lines, min_words, long_words), "doc_id long, th long, begin int, stop int, end int, h1 long, h2 long")
-    again = runs.withColumn("n", F.count("*").over(Window.partitionBy("h1", "h2"))).filter("n > 1")
-    again = scratch.written(again.groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", "stop", "end", "h1", "h2")).alias("spans")), "runs", free=True)
-    texts = base.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("data"))
-    a, t = again.alias("a"), texts.alias("t")
-    read = a.join(t, F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.th") == F.col("t.th"))).select(
-        "a.doc_id", "a.th", F.explode(F.expr("transform(spans, s -> struct(s.begin, s.end, s.h1, s.h2, substring(data, s.begin + 1, s.stop - s.begin) as bytes))")).alias("s")
-    )
-    in_order = Window.partitionBy("h1", "h2", "bytes").orderBy("doc_id", "th", "begin")
-    firsts = [F.first(c).over(in_order).alias(f"first_{c}") for c in ("doc_id", "th", "begin")]
-    return (
-        read.select("doc_id", "th", "s.*").select("doc_id", "th", "begin", "end", *firsts)
-        .filter("not (doc_id <=> first_doc_id and th = first_th and begin = first_begin)")
-        .select("doc_id", "th", "begin", "end", F.col("first_doc_id").alias("first_id"))
-    )
+    base = _base(docs, id_col, text_col)
+    return _later(base.mapInArrow(_runs(min_lines, min_words, long_words), SPANS), base)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,18 +246,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str | None = None, report: bool = False, **least: int) -> DataFrame:
     """`docs` with repeated runs of lines cut out of the texts, whole rows and all other columns kept.
 
-    A document is dropped only if nothing but white space is left, so no text is lost that stands nowhere else. `length_col` is set to the new number of characters. With `report`, the result is
-    instead (doc_id, text, removed_chunks, removed_words, first_ids) for every document, dropped ones having a null text;
-    first_ids lists the documents that hold the first occurrences, and removed_chunks counts passages without a gap. `least` are
-    the lengths that `repeated_runs` takes.
+    A document is dropped only if nothing but white space is left, so no text is lost that stands nowhere else. `length_col` is
+    set to the new number of characters. With `report`, the result is instead (doc_id, text, removed_chunks, removed_words,
+    first_ids) for every document, dropped ones having a null text; first_ids lists the documents that hold the first
+    occurrences, and removed_chunks counts passages without a gap. `least` are the lengths that `repeated_runs` takes.
 
     Null and empty texts stay as they are; so do rows that are equal in id and text to one another, which count as one
     document. Any other columns, whatever their names, pass through. An empty table gives an empty result.
     """
     gone = repeated_runs(docs, id_col, text_col, **least)
-    gone = scratch.written(gone.groupBy("doc_id", "th").agg(
-        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sort_array(F.collect_set("first_id")).alias("first_ids")
-    ), "repeats", free=True)
+    gone = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sort_array(F.collect_set("first_id")).alias("first_ids"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), "th", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"), "first_ids")
     row = docs.select(F.struct(*docs.columns).alias("row"))
     text = F.col("row").getField(text_col)
