@@ -2,7 +2,8 @@
 
 Confirmed toxic documents are the positives, documents of the whole corpus the unlabelled ones, among which toxic ones have
 the share `prior`. With the logistic loss l, the risk  prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])  is
-minimised by mini-batches; where the second term turns negative its gradient is followed upwards instead.
+minimised by mini-batches; where the second term would be negative, the first alone is. How often each feature occurs among
+the unlabelled is counted over all documents; only the gradient steps see a sample.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.textkernel import U, Block, blocks, span_hash, words
 
 BITS, PREFIXES, MAX_TOXIC, MAX_UNLABELLED, SEED = 18, (4, 5, 6), 10_000, 20_000, 11
+#: Feature counts travel in slices of so many features.
+SLICE = 1 << 12
 
 
 class Model(NamedTuple):
@@ -29,15 +32,25 @@ class Model(NamedTuple):
 
 
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of each row, as (row, feature): words and their first bytes, at several lengths."""
+    """Distinct hashed features of each row, as (row, feature).
+
+    They are words and their first bytes, at several lengths, and each of these once more if it occurs at least twice: chance
+    may put one such word into a clean text, but hardly two.
+    """
     w = words(block)
     found = [(w.row << BITS) | (w.hash >> U(64 - BITS)).astype(np.int64)]
     for n in PREFIXES:
         long = w.end - w.start > n
         start = w.start[long]
         found.append((w.row[long] << BITS) | (span_hash(w.prefix, start, start + n) * U(2 * n + 1) >> U(64 - BITS)).astype(np.int64))
-    both = np.unique(np.concatenate(found))
-    return both >> BITS, both & ((1 << BITS) - 1)
+    every = np.sort(np.concatenate(found))
+    first = np.ones(len(every), bool)
+    first[1:] = every[1:] != every[:-1]
+    second = ~first
+    second[1:] &= first[:-1]
+    again, mask = every[second], (1 << BITS) - 1
+    both = np.unique(np.concatenate([every[first], again & ~mask | (again * 5 + 15838) & mask]))
+    return both >> BITS, both & mask
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,30 +63,80 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, n), lists], names=["toxic", "features"])
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of the task each feature occurs, by slices; slice -1 is the number of texts with any feature."""
+    total, texts = np.zeros(1 << BITS, np.int64), 0
+    for batch in batches:
+        for b in blocks(batch.column(0)):
+            row, feature = features(b)
+            total += np.bincount(feature, minlength=len(total))
+            texts += len(np.unique(row))
+    if texts:
+        parts = total.reshape(-1, SLICE)
+        used = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([np.array([texts]).tobytes(), *(parts[i].tobytes() for i in used)], pa.binary())], names=["slice", "counts"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[i] = held[i] + np.frombuffer(raw, np.int64) if i in held else np.frombuffer(raw, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "counts"])
+
+
+def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of all texts (one column) each feature occurs, and how many have any: summed by task, then by slice.
+
+    What comes to the driver is 2 MB, whatever the input.
+    """
+    kind = "slice int, counts binary"
+    summed = texts.mapInArrow(_count, kind).repartition("slice").mapInArrow(_add, kind).collect()
+    total, n = np.zeros(1 << BITS), 0
+    for r in summed:
+        counts = np.frombuffer(bytes(r["counts"]), np.int64)
+        if r["slice"] < 0:
+            n = int(counts[0])
+        else:
+            total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = counts
+    return total, n
+
+
 def _sums(weight: np.ndarray, feature: np.ndarray, heads: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(weight[feature])])
     return total[heads[1:]] - total[heads[:-1]]
 
 
-def evidence(toxic: list[np.ndarray], other: list[np.ndarray], prior: float, least: float = 22.0, strong: float = 1.0, smooth: float = 0.5) -> np.ndarray:
-    """The value of each feature: its log odds, 0 unless these are `strong` and a likelihood ratio test gives `least`.
+def evidence(toxic: list[np.ndarray], counts: np.ndarray, n: int, prior: float, least: float = 22.0, strong: float = 1.0, smooth: float = 0.5) -> np.ndarray:
+    """The value of each feature, from the toxic documents' features and the counts of all n documents.
 
-    The rate among documents that aren't toxic is what the unlabelled rate leaves after the share of toxic ones, 0 at least.
+    It is the signed square of the log odds, 0 unless these are `strong` and a likelihood ratio test gives `least`. The rate
+    among documents that aren't toxic is what the unlabelled rate leaves after the share of toxic ones, 0 at least.
     """
     dims = 1 << BITS
-    p, u = (np.bincount(np.concatenate(x), minlength=dims).astype(float) for x in (toxic, other))
-    pr, ur = p / len(toxic), u / len(other)
+    p, u = np.bincount(np.concatenate(toxic), minlength=dims).astype(float), counts.astype(float)
+    pr, ur = p / len(toxic), u / n
     clean = np.maximum(0, ur - prior * pr) / (1 - prior)
-    pooled = (p + u) / (len(toxic) + len(other))
+    pooled = (p + u) / (len(toxic) + n)
     ratio = np.zeros(dims)
-    for count, n in ((p, len(toxic)), (u, len(other))):
-        for seen, expected in ((count, pooled * n), (n - count, (1 - pooled) * n)):
+    for count, of in ((p, len(toxic)), (u, n)):
+        for seen, expected in ((count, pooled * of), (of - count, (1 - pooled) * of)):
             ratio += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
-    odds = np.log((pr + smooth / len(toxic)) / (clean + smooth / len(other)))
-    return np.where((ratio >= least) & (np.abs(odds) >= strong), odds, 0.0)
+    odds = np.log((pr + smooth / len(toxic)) / (clean + smooth / len(toxic)))
+    return np.where((ratio >= least) & (np.abs(odds) >= strong), odds * np.abs(odds) / 3, 0.0)
 
 
-def fit_non_negative(toxic: list[np.ndarray], other: list[np.ndarray], prior: float, value: np.ndarray, *, seed: int = SEED, epochs: int = 20, batch: int = 512, rate: float = 0.03, decay: float = 1e-3) -> Model:
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of scores of toxic and of unlabelled rows, and its derivatives by each."""
+    sp, su = 1 / (1 + np.exp(-np.clip(gp, -30, 30))), 1 / (1 + np.exp(-np.clip(gu, -30, 30)))
+    negative = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
+    value = prior * np.mean(np.logaddexp(0, -gp)) + max(0.0, negative)
+    if negative >= 0:  # the derivatives of l(-g) and of l(g) differ by 1 at each toxic row
+        return value, np.full(len(gp), -prior / len(gp)), su / len(gu)
+    return value, -prior * (1 - sp) / len(gp), np.zeros(len(gu))
+
+
+def fit_non_negative(toxic: list[np.ndarray], other: list[np.ndarray], prior: float, value: np.ndarray, *, seed: int = SEED, epochs: int = 20, batch: int = 512, rate: float = 0.03, decay: float = 0.03) -> Model:
     """One linear classifier over features of the given values, by mini-batch Adam on the non-negative risk."""
     rng = np.random.default_rng(seed)
     chosen = np.flatnonzero(value)
@@ -97,13 +160,7 @@ def fit_non_negative(toxic: list[np.ndarray], other: list[np.ndarray], prior: fl
             uf, uh = part(other, np.take(u_order, range(s * u_size, (s + 1) * u_size), mode="wrap"))
             own = weight * worth
             gp, gu = _sums(own, pf, ph) + bias, _sums(own, uf, uh) + bias
-            sp, su = 1 / (1 + np.exp(-np.clip(gp, -30, 30))), 1 / (1 + np.exp(-np.clip(gu, -30, 30)))
-            negative = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
-            # derivatives of the risk with respect to each row's score
-            if negative >= 0:
-                dp, du = np.full(p_size, -prior / p_size), su / u_size
-            else:
-                dp, du = prior * sp / p_size, -su / u_size
+            _, dp, du = risk(gp, gu, prior)
             grad = np.bincount(pf, np.repeat(dp, np.diff(ph)), dims) + np.bincount(uf, np.repeat(du, np.diff(uh)), dims)
             grad = grad * worth + decay * prior * weight
             gb, t = dp.sum() + du.sum(), t + 1
@@ -132,6 +189,8 @@ def train(
 ) -> Model:
     """Train on at most `max_toxic` confirmed toxic documents and `max_unlabelled` documents of the corpus, by seeded hash.
 
+    The features' document counts are of all documents; the sample serves the gradient steps alone.
+
     `prior`, the share of toxic documents, is by default their share among the labelled ones, within 0.001 and 0.5. Without
     any toxic document or any text at all the model rejects nothing. Null ids, labels and texts are left out.
     """
@@ -160,7 +219,7 @@ def train(
                 sets[0 if marks[i] else 1].append(own[i])
     if not sets[0] or not sets[1]:
         return Model(np.zeros(1 << BITS), -1.0, prior)
-    value = evidence(*sets, prior)
+    value = evidence(sets[0], *document_counts(base.select("text")), prior)
     if not value.any():
         return Model(np.zeros(1 << BITS), -1.0, prior)
     found = [fit_non_negative(*sets, prior, value, seed=seed + i) for i in range(classifiers)]
@@ -170,6 +229,8 @@ def train(
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, toxic) for each row of `docs`: the decision value on the whole text, and whether it is above 0.
 
+    Texts of any length are read whole; an empty table gives an empty result.
+
     A null or empty text, or one without words, has the score of the intercept alone and is never toxic. A null id stays
     null; repeated rows are scored each. Other columns are not read.
     """
@@ -191,7 +252,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns as they are, that the model doesn't call toxic. Row by row, without a shuffle.
 
-    Null and empty texts stay, whatever the other columns hold.
+    Null and empty texts stay, whatever the other columns hold and are called; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
     at = docs.columns.index(text_col)
