@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from weftgraph import lineage
 from weftgraph.api import KnowledgeBase
 from weftgraph.functions import budget, text, vectors
-from weftgraph.models import GoldenEmbedder, RuleModel, embed_missing
+from weftgraph.models import HashEmbedder, RuleModel, embed_missing
 from weftgraph.operators import communities, fast_graph, merge, model_graph, provenance, reports, subgraph
 from weftgraph.operators.vectors import ListIndex, exact_top
 from weftgraph.plans import drift, overview
@@ -26,22 +26,31 @@ from weftgraph.sources.documents import chunk_stats, coerce_documents, compose_t
 
 SEEDS = ("part1", "part2", "part3")
 QUESTION = "What do the passages report?"
-QUERY_VECTOR = GoldenEmbedder(64).embed_query(QUESTION)
+WALK_QUESTION = "How do ASIA and AFRICA trade with INDIA, JAPAN, FRANCE and BRAZIL?"
+#: Ranks of a public vocabulary; the file has to lie there on every executor.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+QUERY_VECTOR = HashEmbedder(64).embed_query(QUESTION)
 BUDGETS = ((1000, 0.5, 0.25), (100, 0.5, 0.25), (8000, 0.9, 0.9), (8000, 0.0, 0.0), (4096, 1.5, -0.2))
 LIST_SIZES = ((0, 0), (1, 0), (10, 100), (49, 0), (50, 0), (1000, 50), (5000, 0), (1_000_000, 0))
 
 
+#: The type of orders.
+ORDER = "decimal(38,0)"
+
+
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
 def flat(rows: DataFrame) -> DataFrame:
-    """Lists of strings as one string, all whole numbers as bigint."""
+    """Lists of strings and decimals as one string, all whole numbers as bigint."""
     made = []
     for f in rows.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c, ",")
+        elif isinstance(f.dataType, T.DecimalType):
+            c = c.cast("string")
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
             c = c.cast("long")
         made.append(c.alias(f.name))
@@ -60,7 +69,7 @@ def _order_units(spark: SparkSession, d: str) -> DataFrame:
     told = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(", "), F.col("o_orderpriority"))
     return _read(spark, d, "orders").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), told.alias("text"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("document_id"),
-        F.lit(0).alias("chunk_index"), text.count_tokens(told).alias("n_tokens"), F.col("o_orderkey").alias("unit_ord"), F.col("o_orderstatus").alias("status"),
+        F.lit(0).alias("chunk_index"), text.count_tokens(told).alias("n_tokens"), F.col("o_orderkey").cast(ORDER).alias("unit_ord"), F.col("o_orderstatus").alias("status"),
     )
 
 
@@ -68,11 +77,12 @@ def _order_phrases(spark: SparkSession, d: str, units: DataFrame) -> DataFrame:
     parts = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
     keys = F.array_distinct(F.transform("lines", lambda x: x["l_partkey"].cast("string")))
     named = F.transform(keys, lambda k: F.struct(F.concat(F.lit("Part "), k).alias("title"), F.concat(F.lit("part"), k).alias("norm_title")))
-    return units.join(parts.select(F.col("l_orderkey").alias("unit_ord"), named.alias("phrases")), "unit_ord").select("id", "unit_ord", "text", "phrases")
+    return units.join(parts.select(F.col("l_orderkey").cast(ORDER).alias("unit_ord"), named.alias("phrases")), "unit_ord").select("id", "unit_ord", "text", "phrases")
 
 
 def _graph(spark: SparkSession, d: str, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     phrases = _order_phrases(spark, d, _order_units(spark, d) if units is None else units)
+    phrases = lineage.cut(phrases)  # read three times
     kept = fast_graph.entities(phrases)
     return kept, fast_graph.relationships(phrases, kept)
 
@@ -82,7 +92,7 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     kind, key = F.col("event_type"), F.col("event_id").cast("string")
     none = F.lit(None).cast("string")
     rows = _read(spark, d, "events").select(
-        F.concat(F.lit("o"), key).alias("unit_id"), F.col("event_id").alias("unit_ord"), F.lit(0).alias("place"), F.concat(F.lit("Part "), F.col("user_id").cast("string")).alias("subject"),
+        F.concat(F.lit("o"), key).alias("unit_id"), F.col("event_id").cast(ORDER).alias("unit_ord"), F.lit(0).alias("place"), F.concat(F.lit("Part "), F.col("user_id").cast("string")).alias("subject"),
         none.alias("object"), F.when(F.col("value") > 50, "suspected").otherwise("unknown").alias("status"), kind.alias("description"), none.alias("start_date"), none.alias("end_date"),
     )
     return model_graph.merge_claims(rows)
@@ -102,7 +112,21 @@ def _linked(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return flat(_units(spark, d))
+    return flat(_units(spark, d).drop("metadata"))
+
+
+def chunk_documents_by_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return flat(compose_text_units(_documents(spark, d), tokenizer=RANKS).drop("metadata"))
+
+
+def chunk_string_ids(spark: SparkSession, d: str) -> DataFrame:
+    named = _read(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    return flat(compose_text_units(coerce_documents(named)).drop("metadata", "unit_ord"))
+
+
+def unit_metadata(spark: SparkSession, d: str) -> DataFrame:
+    units = compose_text_units(coerce_documents(_read(spark, d, "documents")))
+    return units.select("id", *[F.col("metadata")[k].alias(k) for k in ("doc_id", "document_id", "chunk_index", "lang", "source", "n_chars")])
 
 
 def chunk_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +135,7 @@ def chunk_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def document_units(spark: SparkSession, d: str) -> DataFrame:
     documents = _documents(spark, d)
-    return flat(document_records(documents, compose_text_units(documents)))
+    return flat(document_records(documents, compose_text_units(documents)).drop("metadata"))
 
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -187,11 +211,17 @@ def neighborhood_1hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subgraph_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Around the seeds, the brands being communities of the parts, with a report on each."""
     model = _trade(spark, d)
-    model |= {"communities": empty(spark, "communities"), "reports": empty(spark, "reports")}
+    brands = _read(spark, d, "part").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("norm_title"), F.concat(F.lit("comm_"), "p_brand").alias("community_id"), F.lit(0).alias("ord"))
+    members = brands.join(model["entities"].select("norm_title", F.col("id").alias("entity_id")), "norm_title")
+    model["entities"] = communities.with_communities(model["entities"], members)
+    ids = brands.select("community_id").distinct()
+    model["communities"] = conform(ids.select(F.col("community_id").alias("id")), "communities")
+    model["reports"] = conform(ids.select(F.concat(F.lit("report_"), "community_id").alias("id"), "community_id"), "reports")
     parts = subgraph.slice_model(model, _seeds(model["entities"]))
     out = None
-    for name in ("entities", "relationships", "chunks", "covariates", "documents"):
+    for name in ("entities", "relationships", "chunks", "covariates", "documents", "communities", "reports"):
         one = parts[name].select(F.lit(name).alias("part"), "id")
         out = one if out is None else out.union(one)
     return out
@@ -231,14 +261,14 @@ def document_to_graph(spark: SparkSession, d: str) -> DataFrame:
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
     model = _linked(spark, d)
-    asked = model["chunks"].select("id", F.col("unit_ord").alias("place"))
+    asked = model["chunks"].select("id", F.col("unit_ord").cast("long").alias("place"))
     seeds = [r["id"] for r in _seeds(model["entities"]).select("id").collect()]
     return flat(provenance.citations(model, asked, seeds))
 
 
 def source_lines(spark: SparkSession, d: str) -> DataFrame:
     model = _linked(spark, d)
-    return flat(provenance.sources_block(model, model["chunks"].select("id", F.col("unit_ord").alias("place"))))
+    return flat(provenance.sources_block(model, model["chunks"].select("id", F.col("unit_ord").cast("long").alias("place"))))
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
@@ -269,7 +299,7 @@ def _extractions(spark: SparkSession, d: str) -> DataFrame:
     named = lambda title, kind, said: F.struct(title.alias("title"), F.lit(kind).alias("type"), said.alias("description"))
     entities = F.flatten(F.transform("lines", lambda x: F.array(named(part(x), "part", F.concat(F.lit("flag "), x["l_returnflag"])), named(supplier(x), "supplier", F.lit("")))))
     relations = F.transform("lines", lambda x: F.struct(supplier(x).alias("source"), part(x).alias("target"), F.lit("supplies").alias("description"), x["l_quantity"].cast("string").alias("weight")))
-    return lines.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("unit_id"), F.col("l_orderkey").alias("unit_ord"), entities.alias("entities"), relations.alias("relationships"))
+    return lines.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("unit_id"), F.col("l_orderkey").cast(ORDER).alias("unit_ord"), entities.alias("entities"), relations.alias("relationships"))
 
 
 def merge_extractions_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -314,8 +344,8 @@ def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def embed_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit(None).cast("array<float>").alias("embedding"))
-    made = embed_missing(rows, GoldenEmbedder(), F.col("text"), "embedding")
-    return made.select("id", *[F.round(F.col("embedding")[i].cast("double"), 4).alias(f"v{i}") for i in range(2)])
+    made = embed_missing(rows, HashEmbedder(), F.col("text"), "embedding")
+    return made.select("id", *[F.round(F.col("embedding")[i].cast("double"), 4).alias(f"v{i}") for i in range(8)])
 
 
 def choose_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -345,12 +375,28 @@ def batch_reports_next_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nation_tree(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Regions and nations as communities of two levels, customers as their entities, and a report on each."""
+    """Regions and nations as communities of two levels, customers as their entities, and a report on each.
+
+    A customer's orders are its text units, events claims on the customer of the user's number, and each customer follows the
+    one of half its number.
+    """
     customers = _read(spark, d, "customer")
+    orders = _order_units(spark, d)
+    listed = orders.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit_ord", "id"))), lambda x: x["id"]).alias("text_unit_ids"))
+    name = lambda k: F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"))
+    key = F.col("c_custkey")
+    follows = customers.filter("c_custkey >= 2").select(
+        F.concat(F.lit("r"), key.cast("string")).alias("id"), name(key).alias("source"), name(F.floor(key / 2)).alias("target"), F.lit("follows").alias("description"), (key % 5 + 1).cast("double").alias("weight"),
+        text.norm_title(name(key)).alias("norm_source"), text.norm_title(name(F.floor(key / 2))).alias("norm_target"), key.alias("ord"),
+    )
+    claims = _read(spark, d, "events").select(
+        F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("id"), name(F.col("user_id")).alias("subject"), F.when(F.col("value") > 50, "SUSPECTED").otherwise("TRUE").alias("status"), F.col("event_type").alias("description"),
+        F.when(F.col("event_id") % 3 == 0, "2024").otherwise("").alias("start_date"), text.norm_title(name(F.col("user_id"))).alias("norm_subject"), F.col("event_id").alias("ord"),
+    )
     entities = customers.select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("type"), F.lit("buys").alias("description"), F.floor(F.col("c_acctbal") / 1000).cast("double").alias("rank"),
         text.norm_title(F.col("c_name")).alias("norm_title"), F.col("c_custkey").alias("ord"), F.col("c_nationkey").alias("nation"),
-    )
+    ).join(listed.withColumnRenamed("document_id", "id"), "id", "left")
     nations, regions = _read(spark, d, "nation"), _read(spark, d, "region")
     own = entities.join(nations, F.col("nation") == F.col("n_nationkey"))
     members = own.select(F.format_string("comm_L1_%d", "n_nationkey").alias("community_id"), F.lit(1).alias("level"), F.col("id").alias("entity_id"), (F.col("n_nationkey") + 100).cast("long").alias("ord"), F.col("ord").alias("entity_ord")).union(
@@ -362,7 +408,7 @@ def _nation_tree(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     )
     tree = tree.join(listed.withColumnRenamed("community_id", "id"), "id", "left")
     told = tree.select(F.concat(F.lit("report_"), "id").alias("id"), F.col("id").alias("community_id"), "level", "title", F.concat(F.lit("On "), "title").alias("summary"), F.concat(F.lit("All on "), "title").alias("full_content"), F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("ord"))
-    model = {"entities": entities, "communities": tree, "reports": told}
+    model = {"entities": entities, "communities": tree, "reports": told, "chunks": orders, "relationships": follows, "covariates": claims}
     out = {name: conform(model[name], name) if name in model else empty(spark, name) for name in ("entities", "communities", "reports", "relationships", "covariates", "chunks", "documents")}
     return out | {"members": members}
 
@@ -372,7 +418,7 @@ def report_level_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def community_report_rank(spark: SparkSession, d: str) -> DataFrame:
-    return flat(reports.report_inputs(_nation_tree(spark, d)).select("community_id", "level", "rank", "n_entities", "entities"))
+    return flat(reports.report_inputs(_nation_tree(spark, d)).select("community_id", "level", "rank", "n_entities", "n_relations", "entities", "relations", "claims", "sources"))
 
 
 def community_members(spark: SparkSession, d: str) -> DataFrame:
@@ -381,7 +427,7 @@ def community_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hierarchy_walk(spark: SparkSession, d: str) -> DataFrame:
-    return flat(overview.select_dynamically(_nation_tree(spark, d), QUESTION, RuleModel()).select("id", "community_id", "level", "title"))
+    return flat(overview.select_dynamically(_nation_tree(spark, d), WALK_QUESTION, RuleModel()).select("id", "community_id", "level", "title"))
 
 
 def community_reports(spark: SparkSession, d: str) -> DataFrame:
@@ -428,25 +474,25 @@ _bases: dict[tuple[str, str], KnowledgeBase] = {}
 
 
 def _base(spark: SparkSession, d: str) -> KnowledgeBase:
-    """A knowledge base of all benchmark passages, built once for each application."""
+    """A knowledge base of all documents, built once for each application."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _bases:
-        base = KnowledgeBase(spark, f"{lineage.folder(spark)}/{uuid.uuid4().hex}", "passages", llm=RuleModel(), embedder=GoldenEmbedder())
-        base.build(_read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+        base = KnowledgeBase(spark, f"{lineage.folder(spark)}/{uuid.uuid4().hex}", "corpus", llm=RuleModel(), embedder=HashEmbedder())
+        base.build(_read(spark, d, "documents"))
         _bases[key] = base
     return _bases[key]
 
 
 def local_search(spark: SparkSession, d: str) -> DataFrame:
-    return _base(spark, d).retrieve(QUESTION, "local").documents
+    return _base(spark, d).retrieve(QUESTION, "local").documents.drop("metadata")
 
 
 def global_search(spark: SparkSession, d: str) -> DataFrame:
-    return _base(spark, d).retrieve(QUESTION, "global").documents
+    return _base(spark, d).retrieve(QUESTION, "global").documents.drop("metadata")
 
 
 def drift_searches(spark: SparkSession, d: str) -> DataFrame:
-    return _base(spark, d).retrieve(QUESTION, "drift").documents
+    return _base(spark, d).retrieve(QUESTION, "drift").documents.drop("metadata")
 
 
 def stored_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -454,18 +500,17 @@ def stored_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_extraction(spark: SparkSession, d: str) -> DataFrame:
-    units = compose_text_units(coerce_documents(_read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")))
+    units = _units(spark, d)
     found = lineage.cut(model_graph.extract_units(units, RuleModel()))
     return flat(model_graph.merge_entities(found, RuleModel()))
 
 
 def model_claims(spark: SparkSession, d: str) -> DataFrame:
-    units = compose_text_units(coerce_documents(_read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")))
-    return flat(model_graph.extract_claims(units, RuleModel()))
+    return flat(model_graph.extract_claims(_units(spark, d), RuleModel()))
 
 
 QUERIES: tuple[Any, ...] = (
-    chunk_documents, chunk_statistics, document_units, token_counts, content_hash_ids, norm_text_keys, keyword_lists, noun_phrases_topn, fast_entities, fast_entities_frequent, fast_relationships,
+    chunk_documents, chunk_documents_by_bpe, chunk_string_ids, unit_metadata, chunk_statistics, document_units, token_counts, content_hash_ids, norm_text_keys, keyword_lists, noun_phrases_topn, fast_entities, fast_entities_frequent, fast_relationships,
     parts_in_orders, cooccur_parts_in_orders, entity_graph, entity_weighted_degree, entity_rank, edge_canonicalize, neighborhood_1hop, subgraph_slice, provenance_link, provenance_documents,
     provenance_orphans, resolve_entity, entity_to_sources, entity_to_relationships, unit_to_graph, document_to_graph, citations, source_lines, index_merge_entities, index_merge_relationships,
     index_upsert, merge_extractions_entities, merge_extractions_relationships, claims_dedupe, claims_for_entities, vector_missing_guard, ivf_topk, embed_texts, choose_lists, allocate_budget,

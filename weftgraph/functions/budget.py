@@ -24,7 +24,7 @@ def batch_size(total: int, n: int, at_least: int) -> int:
     return min(each, max(512, total // 2))
 
 
-def pack(items: DataFrame, budget: int, *, text: str = "text", order: tuple[str, ...] = ("ord",), by: tuple[str, ...] = (), separator: int = 1, least: int = 24) -> DataFrame:
+def pack(items: DataFrame, budget: int, *, text: str = "text", order: tuple[str, ...] = ("ord",), by: tuple[str, ...] = (), separator: int = 1, least: int = 24, tokenizer: str | None = None) -> DataFrame:
     """The items that fit a budget in their order, with `packed` text and `used` tokens.
 
     The first that doesn't fit is cut to the rest if that is `least` tokens or more, and nothing follows it. Blank items
@@ -32,28 +32,29 @@ def pack(items: DataFrame, budget: int, *, text: str = "text", order: tuple[str,
     """
     window = Window.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy(*order)
     clean = items.withColumn("packed", strip(F.coalesce(F.col(text), F.lit("")))).filter("packed <> ''")
-    clean = clean.withColumn("_need", count_tokens(F.col("packed")) + separator)
+    clean = clean.withColumn("_need", count_tokens(F.col("packed"), tokenizer) + separator)
     clean = clean.withColumn("_sum", F.sum("_need").over(window.rowsBetween(Window.unboundedPreceding, 0)) - separator)
     before = F.coalesce(F.lag("_sum").over(window), F.lit(0))
     first_over = (F.col("_sum") > budget) & (before <= budget)
     room = F.when(first_over, F.lit(budget) - before - F.when(before > 0, separator).otherwise(0))
     clean = clean.withColumn("_room", room).filter((F.col("_sum") <= budget) | (F.col("_room") >= least))
-    return clean.withColumn("packed", F.when(F.col("_room").isNotNull(), truncate_tokens(F.col("packed"), F.col("_room").cast("int"))).otherwise(F.col("packed"))).withColumn(
+    return clean.withColumn("packed", F.when(F.col("_room").isNotNull(), truncate_tokens(F.col("packed"), F.col("_room").cast("int"), tokenizer)).otherwise(F.col("packed"))).withColumn(
         "used", F.when(F.col("_room").isNotNull(), F.lit(budget)).otherwise(F.col("_sum")).cast("long")
     ).drop("_need", "_sum", "_room")
 
 
-def pack_sections(sections: DataFrame, budget: int, *, title: str = "title", body: str = "body", order: str = "ord") -> DataFrame:
+def pack_sections(sections: DataFrame, budget: int, *, title: str = "title", body: str = "body", order: str = "ord", tokenizer: str | None = None) -> DataFrame:
     """Sections with headings up to a budget: each costs two tokens more, and a cut one keeps 32 tokens at least."""
     heading = F.when(F.coalesce(F.col(title), F.lit("")) != "", F.concat(F.lit("## "), F.col(title), F.lit("\n"))).otherwise("")
     whole = sections.withColumn("_block", strip(F.concat(heading, F.coalesce(F.col(body), F.lit(""))))).filter("_block <> ''")
-    window = Window.orderBy(order)
-    whole = whole.withColumn("_sum", F.sum(count_tokens(F.col("_block")) + 2).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = whole.withColumn("_need", count_tokens(F.col("_block"), tokenizer) + 2)
+    window = Window.partitionBy(F.lit(0)).orderBy(order)  # a handful of sections
+    whole = whole.withColumn("_sum", F.sum(F.col("_need")).over(window.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.coalesce(F.lag("_sum").over(window), F.lit(0))
-    room = F.when((F.col("_sum") > budget) & (before <= budget), F.lit(budget) - before - count_tokens(F.concat(F.lit("## "), F.col(title), F.lit("\n"))) - 2)
+    room = F.when((F.col("_sum") > budget) & (before <= budget), F.lit(budget) - before - count_tokens(F.concat(F.lit("## "), F.col(title), F.lit("\n")), tokenizer) - 2)
     whole = whole.withColumn("_room", room).filter((F.col("_sum") <= budget) | (F.col("_room") >= 32))
-    cut = F.concat(heading, truncate_tokens(F.coalesce(F.col(body), F.lit("")), F.col("_room").cast("int")))
-    return whole.withColumn("packed", F.when(F.col("_room").isNotNull(), cut).otherwise(F.col("_block"))).drop("_block", "_sum", "_room")
+    cut = F.concat(heading, truncate_tokens(F.coalesce(F.col(body), F.lit("")), F.col("_room").cast("int"), tokenizer))
+    return whole.withColumn("packed", F.when(F.col("_room").isNotNull(), cut).otherwise(F.col("_block"))).drop("_block", "_need", "_sum", "_room")
 
 
 def next_fit(tokens: Column, most: int) -> Column:

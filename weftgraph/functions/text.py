@@ -8,10 +8,12 @@ from collections import Counter
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.functions import bpe
+
 CJK = r"[一-鿿]"
 STOP_CJK = (
     "一个 一些 不是 什么 今天 他们 以及 但是 你们 关于 其中 其他 可以 可能 因为 如何 如果 它们 已经 应该 怎么 情况 "
@@ -68,28 +70,42 @@ def claim_id(subject: Column, description: Column) -> Column:
     return digest(F.concat(fold(strip(subject)), F.lit("|"), fold(strip(description))), 16, "cov_")
 
 
-def count_tokens(text: Column) -> Column:
-    """Characters where a quarter of the text or more is CJK, else words; 1 at least, 0 for an empty text."""
+def count_tokens(text: Column, tokenizer: str | None = None) -> Column:
+    """BPE tokens by the ranks at `tokenizer`, else characters where a quarter of the text or more is CJK, else words.
+
+    1 at least, 0 for an empty text.
+    """
+    if tokenizer:
+        return bpe.count_tokens(text, tokenizer)
     n = F.length(text)
     cjk = n - F.length(F.regexp_replace(text, CJK, ""))
     word = F.size(F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0)))
     return F.when(F.coalesce(n, F.lit(0)) == 0, 0).when(cjk >= F.greatest(F.lit(1), F.floor(n / 4)), n).otherwise(F.greatest(F.lit(1), word)).cast("int")
 
 
-def truncate_tokens(text: Column, most: Column | int) -> Column:
-    """As much of the text as `most` tokens are of all of its tokens, by characters."""
+def truncate_tokens(text: Column, most: Column | int, tokenizer: str | None = None) -> Column:
+    """The first `most` BPE tokens, or as much of the text as `most` tokens are of all of its tokens, by characters."""
     most = F.lit(most) if isinstance(most, int) else most
+    if tokenizer:
+        return F.when(most <= 0, "").otherwise(bpe.truncate_tokens(text, most, tokenizer))
     count = count_tokens(text)
     kept = F.greatest(F.lit(1), F.floor(F.length(text) * most / count).cast("int"))
     return F.when(most <= 0, "").when(count <= most, text).otherwise(F.substring(text, F.lit(1), kept))
 
 
-def window_pieces(text: Column, size: int, overlap: int) -> Column:
-    """Windows of `size` characters of a stripped text, each beginning `overlap` before the last one's end; 10 001 at most."""
+def window_pieces(text: Column, size: int, overlap: int, most: int | None = None, tokenizer: str | None = None) -> Column:
+    """Windows of `size` characters or BPE tokens of a stripped text, each beginning `overlap` before the last one's end.
+
+    `most` windows, if that is given; else the whole text is covered.
+    """
     size = max(64, size)
+    if tokenizer:
+        pieces = bpe.window_pieces(text, size, overlap, tokenizer)
+        return F.slice(pieces, 1, most) if most else pieces
     step = max(1, size - max(0, min(overlap, size // 2)))
     n = F.length(text)
-    last = F.least(F.ceil((n - size) / F.lit(step)).cast("int"), F.lit(10_000))
+    last = F.ceil((n - size) / F.lit(step)).cast("int")
+    last = F.least(last, F.lit(most - 1)) if most else last
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(text, i * step + 1, F.lit(size))))
     return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(F.filter(cut, lambda p: p != ""))
 
@@ -210,17 +226,3 @@ def history_of(turns: DataFrame) -> DataFrame:
     line = F.concat_ws(": ", F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit("")))
     told = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
     return told.select("conv_id", F.concat(F.lit("Conversation so far:\n"), strip(F.array_join(F.transform("t", lambda x: x["line"]), "\n")), F.lit("\n\n")).alias("block"))
-
-
-def register(spark: SparkSession) -> None:
-    """The keys and counts as SQL functions: norm_title, text_tokens, cosine."""
-    spark.sql(r"""create or replace temporary function norm_title(t string) returns string
-        return replace(lower(regexp_replace(coalesce(t, ''), '(?U)\\s+', '')), 'ß', 'ss')""")
-    spark.sql(r"""create or replace temporary function text_tokens(t string) returns int
-        return case when length(t) = 0 then 0
-          when length(t) - length(regexp_replace(t, '[\\u4e00-\\u9fff]', '')) >= greatest(1, floor(length(t) / 4)) then length(t)
-          else greatest(1, size(regexp_extract_all(t, '(?U)\\S+', 0))) end""")
-    spark.sql("""create or replace temporary function cosine(a array<double>, b array<double>) returns double
-        return case when size(a) <> size(b) or size(a) <= 0 then -1d else coalesce(
-          aggregate(zip_with(a, b, (x, y) -> x * y), 0d, (s, x) -> s + x)
-          / nullif(sqrt(aggregate(a, 0d, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0d, (s, x) -> s + x * x)), 0), -1d) end""")

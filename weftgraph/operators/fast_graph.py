@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.order import place_order
 from weftgraph.functions.text import entity_id, norm_title, noun_phrases, relation_id, snippet
 from weftgraph.lineage import cut
 
@@ -48,7 +49,7 @@ def entities(phrases: DataFrame, min_frequency: int = 1) -> DataFrame:
         F.array_distinct(F.transform("units", lambda u: u["unit_id"])).alias("text_unit_ids"),
         F.col("frequency").cast("double").alias("rank"),
         "norm_title",
-        (F.col("first.unit_ord") * 64 + F.col("first.phrase_rank")).alias("ord"),
+        place_order(F.col("first.unit_ord"), F.col("first.phrase_rank")).alias("ord"),
     )
 
 
@@ -81,7 +82,7 @@ def relationships(phrases: DataFrame, kept: DataFrame) -> DataFrame:
         F.col("n").cast("double").alias("rank"),
         F.col("a").alias("norm_source"),
         F.col("b").alias("norm_target"),
-        (F.col("first.unit_ord") * 512 + F.col("first.place")).alias("ord"),
+        place_order(F.col("first.unit_ord"), F.col("first.place")).alias("ord"),
     )
 
 

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.order import place_order
 from weftgraph.functions.text import claim_id, claim_status, entity_id, norm_title, parse_json, relation_id, strip
 from weftgraph.models import ask, with_answers
 from weftgraph.operators.fast_graph import ordered_ids
@@ -19,7 +20,7 @@ EXTRACT = "TASK: extract\nName the entities of the types {types} in the text and
 GLEAN = "TASK: glean\nFound so far: {entities}; {relationships}. Add what was missed, in the same form.\nTEXT:\n{text}"
 CLAIMS = "TASK: claims\nList the claims of the text as JSON: claims (subject, object, status, description, start_date, end_date).\nTEXT:\n{text}"
 SUMMARY = "TASK: summary\nSay in one paragraph what these descriptions say.\nTEXT:\n{text}"
-EXTRACTION = "unit_id string, unit_ord bigint, failed boolean, entities array<struct<title:string,type:string,description:string>>, relationships array<struct<source:string,target:string,description:string,weight:string>>"
+EXTRACTION = "unit_id string, unit_ord decimal(38,0), failed boolean, n_cut int, entities array<struct<title:string,type:string,description:string>>, relationships array<struct<source:string,target:string,description:string,weight:string>>"
 
 
 def _listed(payload: Any, name: str) -> list[dict]:
@@ -31,16 +32,19 @@ def _text(value: Any) -> str | None:
     return None if value is None else str(value)
 
 
-def extract_from_text(model: Any, text: str, types: tuple[str, ...] = DEFAULT_TYPES, gleanings: int = 1) -> tuple[list[dict], list[dict], bool]:
-    """Entities, relationships and whether the first call failed; each gleaning asks for what was missed."""
-    text = text[:6000]
+def extract_from_text(model: Any, text: str, types: tuple[str, ...] = DEFAULT_TYPES, gleanings: int = 1, most_characters: int | None = None) -> tuple[list[dict], list[dict], bool]:
+    """Entities, relationships and whether the first call failed; each gleaning asks for what was missed.
+
+    The whole text is sent, or its first `most_characters`.
+    """
+    text = text[:most_characters]
     try:
         first = parse_json(ask(model, EXTRACT.format(types=", ".join(types), text=text)))
     except Exception:  # noqa: BLE001
         return [], [], True
     entities, relations = _listed(first, "entities"), _listed(first, "relationships")
     for _ in range(max(0, gleanings)):
-        known = [e.get("title") for e in entities][:80], [f"{r.get('source')}->{r.get('target')}" for r in relations][:80]
+        known = [e.get("title") for e in entities], [f"{r.get('source')}->{r.get('target')}" for r in relations]
         try:
             more = parse_json(ask(model, GLEAN.format(entities=known[0], relationships=known[1], text=text)))
         except Exception:  # noqa: BLE001
@@ -51,18 +55,18 @@ def extract_from_text(model: Any, text: str, types: tuple[str, ...] = DEFAULT_TY
     return entities, relations, False
 
 
-def extract_units(units: DataFrame, model: Any, types: tuple[str, ...] = DEFAULT_TYPES, gleanings: int = 1) -> DataFrame:
-    """One row of extractions for each unit."""
+def extract_units(units: DataFrame, model: Any, types: tuple[str, ...] = DEFAULT_TYPES, gleanings: int = 1, most_characters: int | None = None) -> DataFrame:
+    """One row of extractions for each unit; n_cut is how many characters of it the model didn't see."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for unit, order, text in zip(part["id"], part["unit_ord"], part["text"]):
-                ents, rels, failed = extract_from_text(model, text or "", types, gleanings)
+                ents, rels, failed = extract_from_text(model, text or "", types, gleanings, most_characters)
                 rows.append(
-                    (unit, order, failed, [{k: _text(e.get(k)) for k in ("title", "type", "description")} for e in ents], [{k: _text(r.get(k)) for k in ("source", "target", "description", "weight")} for r in rels])
+                    (unit, order, failed, max(0, len(text or "") - most_characters) if most_characters else 0, [{k: _text(e.get(k)) for k in ("title", "type", "description")} for e in ents], [{k: _text(r.get(k)) for k in ("source", "target", "description", "weight")} for r in rels])
                 )
-            yield pd.DataFrame(rows, columns=["unit_id", "unit_ord", "failed", "entities", "relationships"])
+            yield pd.DataFrame(rows, columns=["unit_id", "unit_ord", "failed", "n_cut", "entities", "relationships"])
 
     return units.select("id", "unit_ord", "text").mapInPandas(run, EXTRACTION)
 
@@ -98,7 +102,7 @@ def merge_entities(extractions: DataFrame, model: Any = None) -> DataFrame:
         F.min_by("title", seen).alias("title"), F.min_by("type", seen).alias("type"), _ordered("said").alias("told"), ordered_ids("unit_ord", "unit_id").alias("text_unit_ids"), F.min(seen).alias("first")
     )
     grouped = _described(grouped, F.col("title"), model)
-    return grouped.select("id", "title", "type", "description", "text_unit_ids", F.size("text_unit_ids").cast("double").alias("rank"), norm_title(F.col("title")).alias("norm_title"), (F.col("first.unit_ord") * 1024 + F.col("first.place")).alias("ord"))
+    return grouped.select("id", "title", "type", "description", "text_unit_ids", F.size("text_unit_ids").cast("double").alias("rank"), norm_title(F.col("title")).alias("norm_title"), place_order(F.col("first.unit_ord"), F.col("first.place")).alias("ord"))
 
 
 def last_titles(entities: DataFrame) -> DataFrame:
@@ -121,11 +125,12 @@ def merge_relationships(extractions: DataFrame, entities: DataFrame, model: Any
         named = names.select(F.col("norm_title").alias(f"norm_{end}"), F.col("canonical").alias("_c"))
         grouped = grouped.withColumn(f"norm_{end}", norm_title(F.col(end))).join(named, f"norm_{end}", "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
     grouped = _described(grouped, F.format_string("%s and %s are related", "source", "target"), model)
-    return grouped.select("id", "source", "target", "description", "weight", "text_unit_ids", F.lit(1.0).alias("rank"), "norm_source", "norm_target", (F.col("first.unit_ord") * 1024 + F.col("first.place")).alias("ord"))
+    return grouped.select("id", "source", "target", "description", "weight", "text_unit_ids", F.lit(1.0).alias("rank"), "norm_source", "norm_target", place_order(F.col("first.unit_ord"), F.col("first.place")).alias("ord"))
 
 
 def extraction_stats(extractions: DataFrame) -> DataFrame:
-    return extractions.agg(F.count("*").alias("text_units"), F.count_if("failed").alias("extraction_failures"))
+    """One row: units, those for which the model failed, and characters that it didn't see."""
+    return extractions.agg(F.count("*").alias("text_units"), F.count_if("failed").alias("extraction_failures"), F.coalesce(F.sum("n_cut"), F.lit(0)).cast("long").alias("characters_cut"))
 
 
 def claims_from_answers(answers: DataFrame) -> DataFrame:
@@ -142,7 +147,7 @@ def claims_from_answers(answers: DataFrame) -> DataFrame:
                 rows += [(unit, order, i, json.dumps({k: _text(v) for k, v in c.items()})) for i, c in enumerate(found)]
             yield pd.DataFrame(rows, columns=["unit_id", "unit_ord", "place", "claim"])
 
-    rows = answers.select("unit_id", "unit_ord", "answer").mapInPandas(run, "unit_id string, unit_ord bigint, place bigint, claim string")
+    rows = answers.select("unit_id", "unit_ord", "answer").mapInPandas(run, "unit_id string, unit_ord decimal(38,0), place bigint, claim string")
     fields = "subject string, object string, status string, description string, start_date string, end_date string"
     return merge_claims(rows.select("unit_id", "unit_ord", "place", F.from_json("claim", fields).alias("c")).select("unit_id", "unit_ord", "place", "c.*"))
 
@@ -154,15 +159,12 @@ def merge_claims(rows: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("subject", "object", "status", "description", "start_date", "end_date", "unit_ord", "place"), F.struct("unit_ord", "place")).alias("c")
     grouped = rows.groupBy("id").agg(first, ordered_ids("unit_ord", "unit_id").alias("text_unit_ids"))
     return grouped.select(
-        "id", "c.subject", "c.object", F.lit("claim").alias("type"), "c.status", "c.description", "c.start_date", "c.end_date", "text_unit_ids", norm_title(F.col("c.subject")).alias("norm_subject"), (F.col("c.unit_ord") * 1024 + F.col("c.place")).alias("ord")
+        "id", "c.subject", "c.object", F.lit("claim").alias("type"), "c.status", "c.description", "c.start_date", "c.end_date", "text_unit_ids", norm_title(F.col("c.subject")).alias("norm_subject"), place_order(F.col("c.unit_ord"), F.col("c.place")).alias("ord")
     )
 
 
-def extract_claims(units: DataFrame, model: Any) -> DataFrame:
-    prompts = units.select(F.col("id").alias("unit_id"), "unit_ord", F.concat(F.lit(CLAIMS.format(text="")), F.substring("text", 1, 5000)).alias("prompt"))
+def extract_claims(units: DataFrame, model: Any, most_characters: int | None = None) -> DataFrame:
+    """Claims of each unit's whole text, or of its first `most_characters`."""
+    text = F.substring("text", 1, most_characters) if most_characters else F.col("text")
+    prompts = units.select(F.col("id").alias("unit_id"), "unit_ord", F.concat(F.lit(CLAIMS.format(text="")), text).alias("prompt"))
     return claims_from_answers(with_answers(prompts, model))
-
-
-def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")

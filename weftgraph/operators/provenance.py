@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.order import UNITS
 from weftgraph.functions.text import norm_title
+from weftgraph.lineage import cut
 from weftgraph.operators.subgraph import touching
 
 NONE = "array<string>"
@@ -15,30 +17,49 @@ def _list(values: str, order: str = "ord") -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, values))), lambda s: s[values]))
 
 
-def pruned(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """Rows without ids of text units that don't exist."""
-    links = rows.select("id", F.posexplode("text_unit_ids").alias("p", "unit_id")).join(units.select(F.col("id").alias("unit_id")), "unit_id", "left_semi")
-    kept = links.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "unit_id"))), lambda s: s["unit_id"]).alias("_u"))
+LISTS = {"entities": "entity_ids", "relationships": "relationship_ids", "covariates": "covariate_ids"}
+
+
+def links(model: dict[str, DataFrame]) -> DataFrame:
+    """(kind, id, ord, p, unit_id): each text unit that exists and that an entity, relationship or claim names, at place p."""
+    out = None
+    for table in LISTS:
+        one = model[table].select(F.lit(table).alias("kind"), "id", F.col("ord").cast("decimal(38,0)").alias("ord"), F.posexplode("text_unit_ids").alias("p", "unit_id"))
+        out = one if out is None else out.union(one)
+    return out.join(model["chunks"].select(F.col("id").alias("unit_id")), "unit_id", "left_semi").select("kind", "id", "ord", "p", "unit_id")
+
+
+def pruned(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the ids of text units that `found`, their links, still has."""
+    kept = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "unit_id"))), lambda s: s["unit_id"]).alias("_u"))
     return rows.join(kept, "id", "left").withColumn("text_unit_ids", F.coalesce("_u", F.array().cast(NONE))).select(*rows.columns)
 
 
-def reverse_ids(rows: DataFrame, name: str) -> DataFrame:
-    """(id of a text unit, ids of the rows that name it, in the rows' order)."""
-    return rows.select(F.explode(F.array_distinct("text_unit_ids")).alias("unit_id"), "id", "ord").groupBy(F.col("unit_id").alias("id")).agg(_list("id").alias(name))
+def reverse_ids(found: DataFrame) -> DataFrame:
+    """(id of a text unit, and a list of the ids that name it for each kind, in their rows' order)."""
+    lists = [
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == table, F.struct("ord", "id")))), lambda s: s["id"])).alias(name) for table, name in LISTS.items()
+    ]
+    return found.groupBy(F.col("unit_id").alias("id")).agg(*lists)
 
 
 def link(model: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The model with links in both directions; units of an unknown document get one that holds the beginning of the first."""
+    """The model with links in both directions; units of an unknown document get one that holds the beginning of the first.
+
+    All links are made once and written; either direction is one grouping of them.
+    """
     units = model["chunks"]
     out = dict(model)
-    linked = units.drop("entity_ids", "relationship_ids", "covariate_ids")
-    for table, name in (("entities", "entity_ids"), ("relationships", "relationship_ids"), ("covariates", "covariate_ids")):
-        out[table] = pruned(model[table], units)
-        linked = linked.join(reverse_ids(out[table], name), "id", "left").withColumn(name, F.coalesce(name, F.array().cast(NONE)))
+    found = cut(links(model))
+    for table in LISTS:
+        out[table] = pruned(model[table], found.filter(F.col("kind") == table))
+    linked = units.drop(*LISTS.values()).join(reverse_ids(found), "id", "left")
+    for name in LISTS.values():
+        linked = linked.withColumn(name, F.coalesce(name, F.array().cast(NONE)))
     owned = units.filter("coalesce(document_id, '') <> ''")
     orphans = owned.join(model["documents"].select(F.col("id").alias("document_id")), "document_id", "left_anti")
-    shells = orphans.groupBy(F.col("document_id").alias("id")).agg(F.substring(F.min_by("text", "unit_ord"), 1, 200).alias("text"), F.min("unit_ord").alias("ord"))
-    shells = shells.withColumn("title", F.col("id"))
+    shells = orphans.groupBy(F.col("document_id").alias("id")).agg(F.substring(F.min_by("text", "unit_ord"), 1, 200).alias("text"), F.min("unit_ord").alias("unit_ord"))
+    shells = shells.select("id", "text", F.col("id").alias("title"), F.floor(F.col("unit_ord") / UNITS).cast("long").alias("ord"))
     listed = owned.groupBy(F.col("document_id").alias("id")).agg(_list("id", "unit_ord").alias("text_unit_ids"))
     documents = model["documents"].drop("text_unit_ids").unionByName(shells, allowMissingColumns=True).join(listed, "id", "left")
     out["documents"] = documents.withColumn("text_unit_ids", F.coalesce("text_unit_ids", F.array().cast(NONE)))

@@ -7,6 +7,8 @@ import math
 from typing import Any
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -89,11 +91,15 @@ class ListIndex:
 
 
 def search_or_exact(index: ListIndex | None, rows: DataFrame, query: list[float], k: int, *, vector: str = "embedding", metric: str = "cosine", fallback: bool = True) -> tuple[DataFrame, str]:
-    """(id, score) by the index, or exactly where there is none, or it fails and `fallback` allows it; and which it was."""
+    """(id, score) by the index, or exactly where there is none, or it fails and `fallback` allows it; and which it was.
+
+    The index is read here and now, as a lost file would else be noticed only after the way back is gone; k rows come of it.
+    """
     if index is not None:
         try:
-            return index.search(query, k), "ann"
-        except ValueError:
+            found = index.search(query, k)
+            return found.sparkSession.createDataFrame(found.collect(), found.schema), "ann"
+        except (ValueError, PySparkException, Py4JJavaError):
             if not fallback:
                 raise
     return exact_top(rows, query, k, vector=vector, metric=metric).select("id", "score"), "exact"

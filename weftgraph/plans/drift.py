@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from weftgraph.functions.text import history_block, norm_title, parse_json
 from weftgraph.models import ask, embed_missing
 from weftgraph.operators.vectors import search_or_exact
-from weftgraph.plans.local import Found, local_search
+from weftgraph.plans.local import Found, _meta, local_search
 from weftgraph.sources.store import Store, report_text
 
 PRIMER = "TASK: primer\n{history}Answer from the reports as JSON: answer, confidence from 0 to 100, follow_ups (question, score). Form: {form}\nQuestion: {query}\nTEXT:\n{reports}"
 REFINE = "TASK: refine\nHow sure is this answer, and what should be asked next? JSON: confidence, follow_ups (question, score).\nQuestion: {query}\nFollow-up: {question}\nTEXT:\n{answer}"
+#: What is asked with when a primer can't be read, or has no questions, and how sure an unread primer is.
+AGAIN, ALONE, UNSURE = 80, 70, 40
 REDUCE = "TASK: answer\n{history}Put these findings together. Form: {form}\nQuestion: {query}\nTEXT:\n{findings}"
 
 
@@ -47,7 +49,7 @@ def distinct_documents(parts: list[DataFrame]) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
     first = F.row_number().over(Window.partitionBy("id").orderBy("round", "ord"))
     rows = rows.withColumn("_n", first).filter("_n = 1 or coalesce(id, '') = ''").drop("_n")
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy("round", "ord"))).drop("round")
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("round", "ord"))).drop("round")
 
 
 def drift_search(
@@ -67,11 +69,11 @@ def drift_search(
     try:
         primer = parse_json(raw)
     except ValueError:  # the answer as it is, and the question itself once more
-        primer = {"answer": raw, "confidence": 40, "follow_ups": [{"question": query, "score": 80}]}
+        primer = {"answer": raw, "confidence": UNSURE, "follow_ups": [{"question": query, "score": AGAIN}]}
     primer = primer if isinstance(primer, dict) else {}
-    asked = follow_ups(primer) or [{"question": query, "score": 70}]
+    asked = follow_ups(primer) or [{"question": query, "score": ALONE}]
     nodes = [{"phase": "primer", "answer": str(primer.get("answer") or raw).strip(), "confidence": safe_score(primer.get("confidence")), "follow_ups": asked}]
-    parts = [chosen.select(F.col("place").alias("ord"), F.lit("community_report").alias("kind"), "id", F.coalesce(F.nullif("summary", F.lit("")), "full_content").alias("page_content"), "title")]
+    parts = [chosen.select(F.col("place").alias("ord"), F.lit("community_report").alias("kind"), "id", F.coalesce(F.nullif("summary", F.lit("")), "full_content").alias("page_content"), "title", _meta(kind=F.lit("community_report"), id=F.col("id"), community_id=F.col("community_id"), level=F.col("level")))]
     for d in range(max(0, depth)):
         given = spark.createDataFrame([(q["question"], q["score"], i) for i, q in enumerate(asked)], "question string, score int, ord int")
         queue = next_questions(given, max_follow_ups, least_score).collect()

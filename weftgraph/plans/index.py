@@ -23,6 +23,9 @@ def build_model(
     chunk_size: int = 1200,
     chunk_overlap: int = 100,
     chunk_enabled: bool = True,
+    max_chunks: int | None = None,
+    tokenizer: str | None = None,
+    most_characters: int | None = None,
     entity_types: tuple[str, ...] = model_graph.DEFAULT_TYPES,
     max_gleanings: int = 1,
     with_claims: bool = False,
@@ -34,7 +37,8 @@ def build_model(
 ) -> dict[str, DataFrame]:
     """All tables of the model of some documents, merged into `base` if one is given.
 
-    `fast` takes noun phrases as entities, `standard` asks the language model for them.
+    `fast` takes noun phrases as entities, `standard` asks the language model for them. Texts are windows of characters, or of
+    BPE tokens by the ranks at `tokenizer`; nothing is left out unless `max_chunks` or `most_characters` is given.
     """
     if method not in ("fast", "standard"):
         raise ValueError(f"unknown method {method}")
@@ -42,18 +46,18 @@ def build_model(
         raise ValueError("the standard method needs a language model")
     spark = rows.sparkSession
     documents = coerce_documents(rows)
-    units = cut(compose_text_units(documents, chunk_size=chunk_size, chunk_overlap=chunk_overlap, chunk_enabled=chunk_enabled))
+    units = cut(compose_text_units(documents, chunk_size=chunk_size, chunk_overlap=chunk_overlap, chunk_enabled=chunk_enabled, max_chunks=max_chunks, tokenizer=tokenizer))
     if units.isEmpty():
         raise ValueError("there is no text to index")
     covariates = empty(spark, "covariates")
     if method == "fast":
         entities, relations = fast_graph.extract_graph(units, min_frequency=min_frequency)
     else:
-        extractions = cut(model_graph.extract_units(units, llm, entity_types, max_gleanings))
+        extractions = cut(model_graph.extract_units(units, llm, entity_types, max_gleanings, most_characters))
         entities = model_graph.merge_entities(extractions, llm)
         relations = model_graph.merge_relationships(extractions, entities, llm)
         if with_claims:
-            covariates = model_graph.extract_claims(units, llm)
+            covariates = model_graph.extract_claims(units, llm, most_characters)
     model = {"documents": document_records(documents, units), "chunks": units, "entities": cut(entities), "relationships": cut(relations), "covariates": covariates}
     if model["entities"].isEmpty():
         raise ValueError("no entity was found in the documents")
@@ -61,6 +65,9 @@ def build_model(
     if base is not None:
         model = {name: cut(table) for name, table in merge_models(base, model).items()}
     found, members = communities.detect_communities(model["entities"], model["relationships"], max_cluster_size=max_cluster_size, max_levels=max_levels)
+    if found.isEmpty():  # all is one community
+        found = communities.single_community(model["entities"])
+        members = found.select(F.col("id").alias("community_id"), "level", F.explode("entity_ids").alias("entity_id"), "ord")
     edges = communities.entity_graph(model["entities"], model["relationships"])
     model["entities"] = conform(communities.with_communities(communities.rank_entities(model["entities"], edges), members), "entities")
     model["communities"], model["entity_edges"] = found, communities.entity_edges(model["entities"], model["relationships"])

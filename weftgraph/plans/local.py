@@ -18,7 +18,7 @@ ANSWER = "TASK: answer\n{history}Answer the question from the context alone, nam
 
 
 class Found(NamedTuple):
-    """A context, the records it is made of as (ord, kind, id, page_content, title), and facts about the search."""
+    """A context, the records it is made of as (ord, kind, id, page_content, title, metadata), and facts about the search."""
 
     context: str
     documents: DataFrame
@@ -26,6 +26,12 @@ class Found(NamedTuple):
     answer: str | None = None
 
 
+def _meta(**told: F.Column) -> F.Column:
+    """What a record tells besides its text; nulls are left out."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in told.items()])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("metadata")
+
+
 def _numbered(rows: DataFrame, *order: Any) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
@@ -106,8 +112,10 @@ def local_context(
     texts = _packed(spark, [r["line"] for r in lines.orderBy("place").collect()], share["text_units"])
     sections = [_packed(spark, [g for g in graph if g], share["graph"]), packed_reports and "## Community reports\n" + packed_reports, texts and "## Sources, to be named by the id in brackets\n" + texts]
     cited = provenance.citations(model, units.select("id", "place"), ids)
-    documents = chosen.select(col("place").alias("ord"), F.lit("entity").alias("kind"), "id", col("description").alias("page_content"), "title").unionByName(
-        units.select((col("place") + len(ids)).alias("ord"), F.lit("text_unit").alias("kind"), "id", col("text").alias("page_content"), col("document_id").alias("title"))
+    documents = chosen.select(col("place").alias("ord"), F.lit("entity").alias("kind"), "id", col("description").alias("page_content"), "title", _meta(kind=F.lit("entity"), id=col("id"), title=col("title"), type=col("type"), text_unit_ids=F.array_join("text_unit_ids", ","))).unionByName(
+        units.select(
+            (col("place") + len(ids)).alias("ord"), F.lit("text_unit").alias("kind"), "id", col("text").alias("page_content"), col("document_id").alias("title"), _meta(kind=F.lit("text_unit"), id=col("id"), document_id=col("document_id"))
+        )
     )
     meta = {
         "mode": "local",

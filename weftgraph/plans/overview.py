@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,12 +13,15 @@ from weftgraph.functions import budget
 from weftgraph.functions.text import count_tokens, history_block, parse_json, truncate_tokens
 from weftgraph.models import ask, with_answers
 from weftgraph.operators.reports import select_level
-from weftgraph.plans.local import Found
+from weftgraph.plans.local import Found, _meta
 
 POINTS = "TASK: points\n{history}List what the reports say on the question as JSON: points (description, score from 0 to 100).\nQuestion: {query}\nTEXT:\n"
 RELEVANCE = "TASK: relevance\nDoes this bear on the question? JSON: relevant, score from 0 to 100.\nQuestion: {query}\nTEXT:\n"
 REDUCE = "TASK: answer\n{history}Answer from the points. {outside} Form: {form}\nQuestion: {query}\nTEXT:\n{points}"
 
+#: Reports that are put into batches together.
+TOGETHER = 4096
+
 
 def _whole(value: Any) -> int:
     try:
@@ -36,7 +38,7 @@ def select_dynamically(model: dict[str, DataFrame], query: str, llm: Any, thresh
     """
     reports = model["reports"]
     tree = model["communities"].select("id", "level", "parent")
-    asked = reports.select(F.col("community_id").alias("id"), F.concat(F.lit(RELEVANCE.format(query=query)), F.col("title"), F.lit("\n"), F.substring("summary", 1, 800)).alias("prompt"))
+    asked = reports.select(F.col("community_id").alias("id"), F.concat(F.lit(RELEVANCE.format(query=query)), F.col("title"), F.lit("\n"), F.coalesce("summary", F.lit(""))).alias("prompt"))
     judged = with_answers(asked, llm)
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,22 +75,25 @@ def select_dynamically(model: dict[str, DataFrame], query: str, llm: Any, thresh
     return select_level(reports, 0) if picked.isEmpty() else picked
 
 
-def batches(reports: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """Reports with a `batch`: in seeded random order, a batch ends before the report that would overfill it."""
-    ids = [r["id"] for r in reports.orderBy("ord", "id").select("id").collect()]  # ids alone; the texts stay
-    random.Random(seed).shuffle(ids)
-    order = reports.sparkSession.createDataFrame(list(enumerate(ids)), "place int, id string")
-    placed = reports.join(order, "id").withColumn("tokens", count_tokens(F.concat_ws("\n", "title", "summary", "full_content")))
-    listed = placed.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tokens"))), lambda s: s["tokens"]).alias("t"))
-    numbers = listed.select(F.posexplode(budget.next_fit(F.col("t"), most)).alias("place", "batch"))
-    return placed.join(numbers, "place")
+def batches(reports: DataFrame, most: int, n: int, seed: int = 42) -> DataFrame:
+    """Reports with a `batch`: in the order of a seeded hash, a batch ends before the report that would overfill it.
+
+    Of n reports, some thousands at a time are numbered together, by ids and token counts alone; batches don't cross these.
+    """
+    shares = F.lit(-(-n // TOGETHER) or 1)
+    mixed = F.xxhash64(F.lit(seed), "id")
+    sized = reports.select("id", mixed.alias("place"), F.pmod(mixed, shares).alias("share"), count_tokens(F.concat_ws("\n", "title", "summary", "full_content")).alias("tokens"))
+    listed = sized.groupBy("share").agg(F.array_sort(F.collect_list(F.struct("place", "id", "tokens"))).alias("r"))
+    numbers = F.arrays_zip(F.col("r").alias("r"), budget.next_fit(F.transform("r", lambda x: x["tokens"]), most).alias("batch"))
+    numbered = listed.select("share", F.explode(numbers).alias("x")).select("x.r.id", "x.r.place", "x.r.tokens", (F.col("share") * TOGETHER + F.col("x.batch")).cast("long").alias("batch"))
+    return reports.join(numbered, "id")
 
 
 def map_points(batched: DataFrame, query: str, llm: Any, most: int, history: str | None = None) -> DataFrame:
     """(batch, place, description, score): one call for each batch; where it fails, the titles and summaries themselves."""
     text = F.concat(F.lit("# "), "title", F.format_string("\nLevel %d\n", "level"), "summary", F.lit("\n"), "full_content")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("x")))), lambda s: s["x"])
-    plain = F.array_sort(F.collect_list(F.struct("place", F.concat_ws(": ", "title", "summary").alias("description"), F.greatest(F.lit(1), F.col("rank").cast("int")).alias("score"))))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "id", text.alias("x")))), lambda s: s["x"])
+    plain = F.array_sort(F.collect_list(F.struct("place", "id", F.concat_ws(": ", "title", "summary").alias("description"), F.greatest(F.lit(1), F.col("rank").cast("int")).alias("score"))))
     joined = batched.groupBy("batch").agg(F.array_join(lines, "\n\n").alias("x"), plain.alias("plain"))
     asked = joined.select("batch", "plain", F.concat(F.lit(POINTS.format(history=history_block(history), query=query)), truncate_tokens(F.col("x"), most)).alias("prompt"))
     told = with_answers(asked, llm)
@@ -106,7 +111,7 @@ def map_points(batched: DataFrame, query: str, llm: Any, most: int, history: str
                 rows += [(batch, i, d, s) for i, (d, s) in enumerate(points) if d]
             yield pd.DataFrame(rows, columns=["batch", "place", "description", "score"])
 
-    return told.select("batch", "plain", "answer").mapInPandas(read, "batch int, place int, description string, score int")
+    return told.select("batch", "plain", "answer").mapInPandas(read, "batch long, place int, description string, score int")
 
 
 def global_search(
@@ -121,7 +126,7 @@ def global_search(
     if not n:
         raise ValueError("there are no community reports")
     size = budget.batch_size(max_tokens, n, map_batch_size)
-    batched = batches(reports, size).persist()
+    batched = batches(reports, size, n).persist()
     points = map_points(batched, query, llm, size, history).orderBy(F.desc("score"), "batch", "place").limit(top_points)
     points = points.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "batch", "place"))).persist()
     if points.isEmpty():
@@ -131,6 +136,6 @@ def global_search(
     outside = "General knowledge may be added if it is marked." if outside_knowledge else "Add nothing from elsewhere."
     answer = ask(llm, REDUCE.format(history=history_block(history), outside=outside, form=form, query=query, points=block))
     first = reports.orderBy("ord", "id").first()
-    documents = reports.select(F.row_number().over(Window.orderBy("ord", "id")).alias("ord"), F.lit("community_report").alias("kind"), "id", F.col("full_content").alias("page_content"), "title")
+    documents = reports.select("ord", F.lit("community_report").alias("kind"), "id", F.col("full_content").alias("page_content"), "title", _meta(kind=F.lit("community_report"), id=F.col("id"), community_id=F.col("community_id"), level=F.col("level")))
     meta = {"mode": "global", "selection": "dynamic" if dynamic else f"level_{first['level']}", "community_level": first["level"], "reports_used": n, "map_batches": batched.agg(F.count_distinct("batch")).first()[0], "points": points.count()}
     return Found(block, documents, meta, answer)

@@ -9,16 +9,16 @@ from pyspark.sql import types as T
 _ids = "array<string>"
 _DDL = {
     "documents": f"id string, text string, title string, text_unit_ids {_ids}, metadata map<string,string>, ord bigint",
-    "chunks": f"id string, text string, embedding array<float>, metadata map<string,string>, document_id string, entity_ids {_ids}, relationship_ids {_ids}, covariate_ids {_ids}, n_tokens int, chunk_index int, unit_ord bigint",
-    "entities": f"id string, title string, type string, description string, description_embedding array<float>, text_unit_ids {_ids}, community_ids {_ids}, rank double, norm_title string, ord bigint",
-    "relationships": f"id string, source string, target string, description string, weight double, text_unit_ids {_ids}, rank double, norm_source string, norm_target string, ord bigint",
-    "covariates": f"id string, subject string, object string, type string, status string, description string, start_date string, end_date string, text_unit_ids {_ids}, norm_subject string, ord bigint",
+    "chunks": f"id string, text string, embedding array<float>, metadata map<string,string>, document_id string, entity_ids {_ids}, relationship_ids {_ids}, covariate_ids {_ids}, n_tokens int, chunk_index int, unit_ord decimal(38,0)",
+    "entities": f"id string, title string, type string, description string, description_embedding array<float>, text_unit_ids {_ids}, community_ids {_ids}, rank double, norm_title string, ord decimal(38,0)",
+    "relationships": f"id string, source string, target string, description string, weight double, text_unit_ids {_ids}, rank double, norm_source string, norm_target string, ord decimal(38,0)",
+    "covariates": f"id string, subject string, object string, type string, status string, description string, start_date string, end_date string, text_unit_ids {_ids}, norm_subject string, ord decimal(38,0)",
     "communities": f"id string, level int, parent string, entity_ids {_ids}, title string, children {_ids}, ord bigint",
     "reports": f"id string, community_id string, level int, title string, summary string, full_content string, rank double, embedding array<float>, entity_ids {_ids}, ord bigint",
     "entity_edges": "src_id string, dst_id string, description string, weight double",
 }
 _TYPES: dict[str, T.DataType] = {
-    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), _ids: T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "decimal(38,0)": T.DecimalType(38, 0), _ids: T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
 }
 #: Parsed here, as Spark's own parser needs a running session.
 SCHEMAS: dict[str, T.StructType] = {name: T.StructType([T.StructField(*f.split(" ")[:1], _TYPES[f.split(" ")[1]]) for f in ddl.split(", ")]) for name, ddl in _DDL.items()}

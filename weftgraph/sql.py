@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from weftgraph.catalogue import BUDGETS, LIST_SIZES, QUERY_VECTOR, SEEDS
+import re
+
+from weftgraph.catalogue import BUDGETS, LIST_SIZES, QUERY_VECTOR, SEEDS, WALK_QUESTION
 from weftgraph.functions.text import STOP_CJK, STOP_ENGLISH
 
 WS = r"[\s\x0b\x{85}\p{Z}]"
@@ -42,7 +44,7 @@ UNITS = f"""docs as (
 ), pieces as (
   select id as document_id, ord, unnest(ps) as text, generate_subscripts(ps, 1) - 1 as chunk_index from cut
 ), units as (
-  select {_hash("document_id || '|' || chunk_index || '|' || substring(text, 1, 64)", 12, "tu_")} as id, text, document_id, chunk_index, {_tokens("text")} as n_tokens, ord * 16384 + chunk_index as unit_ord from pieces
+  select {_hash("document_id || '|' || chunk_index || '|' || substring(text, 1, 64)", 12, "tu_")} as id, text, document_id, chunk_index, {_tokens("text")} as n_tokens, ord::hugeint * 1000000000 + chunk_index as unit_ord from pieces
 )"""
 
 # RE2 has no word boundaries beyond ASCII, so other letters become a marker of word characters first
@@ -70,15 +72,15 @@ PHRASES = f"""{UNITS}, marked as (
 def _graph(p: str = "") -> str:
     """Entities and relationships of the phrases with a prefix."""
     return f"""{p}entities as (
-  select {_hash("norm_title", 16, "ent_")} as id, arg_min(title, unit_ord * 64 + phrase_rank) as title, 'NOUN_PHRASE' as type,
+  select {_hash("norm_title", 16, "ent_")} as id, arg_min(title, unit_ord * 1000000 + phrase_rank) as title, 'NOUN_PHRASE' as type,
     substring(array_to_string(list(snippet order by unit_ord)[1:3], ' | '), 1, 500) as description, string_agg(unit_id, ',' order by unit_ord) as text_unit_ids, cast(count(*) as double) as rank,
-    norm_title, cast(min(unit_ord * 64 + phrase_rank) as bigint) as ord
+    norm_title, min(unit_ord * 1000000 + phrase_rank) as ord
   from {p}phrases group by norm_title
 ), {p}pairs as (
   select a.unit_id, a.unit_ord, least(a.norm_title, b.norm_title) as x, greatest(a.norm_title, b.norm_title) as y, row_number() over (partition by a.unit_id order by a.phrase_rank, b.phrase_rank) - 1 as place
   from {p}phrases a join {p}phrases b on a.unit_id = b.unit_id and a.phrase_rank < b.phrase_rank
 ), {p}summed as (
-  select x, y, count(*) as n, string_agg(unit_id, ',' order by unit_ord) as text_unit_ids, cast(min(unit_ord * 512 + place) as bigint) as ord from {p}pairs group by x, y
+  select x, y, count(*) as n, string_agg(unit_id, ',' order by unit_ord) as text_unit_ids, min(unit_ord * 1000000 + place) as ord from {p}pairs group by x, y
 ), {p}relationships as (
   select {_relation("x", "y", "|")} as id, a.title as source, b.title as target, 'together in a text unit, ' || n || ' times' as description, cast(n as double) as weight, s.text_unit_ids, cast(n as double) as rank,
     x as norm_source, y as norm_target, s.ord
@@ -87,13 +89,14 @@ def _graph(p: str = "") -> str:
 
 
 ENTITIES = f"{PHRASES}, {_graph()}"
-ENTITY_COLUMNS = "id, title, type, description, text_unit_ids, rank, norm_title, ord"
-RELATION_COLUMNS = "id, source, target, description, weight, text_unit_ids, rank, norm_source, norm_target, ord"
+ORD = "cast(ord as varchar) as ord"
+ENTITY_COLUMNS = f"id, title, type, description, text_unit_ids, rank, norm_title, {ORD}"
+RELATION_COLUMNS = f"id, source, target, description, weight, text_unit_ids, rank, norm_source, norm_target, {ORD}"
 
 
 def _trade(p: str = "", where: str = "true") -> str:
     return f"""{p}units as (
-  select 'o' || o_orderkey as id, 'Order ' || o_orderkey || ', ' || o_orderpriority as text, 'c' || o_custkey as document_id, o_orderkey as unit_ord from orders where {where}
+  select 'o' || o_orderkey as id, 'Order ' || o_orderkey || ', ' || o_orderpriority as text, 'c' || o_custkey as document_id, o_orderkey::hugeint as unit_ord from orders where {where}
 ), {p}lines as (
   select l_orderkey, l_partkey, min(struct_pack(a := l_linenumber, b := l_partkey)) as first from lineitem group by l_orderkey, l_partkey
 ), {p}phrases as (
@@ -105,7 +108,7 @@ def _trade(p: str = "", where: str = "true") -> str:
 TRADE = _trade()
 CLAIMS = f"""claims as (
   select {_hash("'part ' || user_id || '|' || event_type", 16, "cov_")} as id, 'Part ' || user_id as subject, '' as object, 'claim' as type, arg_min(case when value > 50 then 'SUSPECTED' else 'TRUE' end, event_id) as status,
-    event_type as description, '' as start_date, '' as end_date, string_agg('o' || event_id, ',' order by event_id) as text_unit_ids, 'part' || user_id as norm_subject, min(event_id) * 1024 as ord
+    event_type as description, '' as start_date, '' as end_date, string_agg('o' || event_id, ',' order by event_id) as text_unit_ids, 'part' || user_id as norm_subject, min(event_id)::hugeint * 1000000 as ord
   from events group by user_id, event_type
 )"""
 LINKED = f"""{TRADE}, {CLAIMS}, unit_entities as (
@@ -139,12 +142,11 @@ def _nearest(score: str) -> str:
     return f"select vec_id as id, round({score}, 6) as score from embeddings order by {score} desc, vec_id limit 20"
 
 
-_golden = ["s0 as (select item_id as id, cast((list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) + length(text)) % 997 + 1 as double) as x from benchmark)"]
-for _i in range(8):
-    _held = ", ".join(f"x{j}" for j in range(_i))
-    _golden.append(f"s{_i + 1} as (select id, {_held + ', ' if _held else ''}y - floor(y) as x, y - floor(y) as x{_i} from (select *, x * 1.6180339887::double + {_i * 0.37!r}::double as y from s{_i}))")
-_GOLDEN = ", ".join(_golden)
-_norm8 = "sqrt(" + " + ".join(f"(2 * x{i} - 1) * (2 * x{i} - 1)" for i in range(8)) + ")"
+_sums = ", ".join(f"coalesce(sum(s) filter (where d = {i}), 0) as x{i}" for i in range(8))
+_norm8 = "sqrt(" + " + ".join(f"x{i} * x{i}" for i in range(8)) + ")"
+_HASHED = f"""w as (select item_id, unnest(regexp_split_to_array(lower(text), '\\s+')) as w from benchmark),
+  h as (select item_id, cast('0x' || substring(sha1(w), 1, 4) as int) % 8 as d, case when substring(sha1(w), 5, 1) < '8' then 1.0::double else -1.0::double end as s from w where w <> ''),
+  x as (select item_id as id, {_sums} from h group by item_id)"""
 
 
 def _cast(x: str) -> str:
@@ -156,7 +158,10 @@ def _values(rows: tuple[tuple, ...]) -> str:
 
 
 SQL = {
-    "chunk_documents": f"with {UNITS} select id, text, document_id, chunk_index, n_tokens, unit_ord from units",
+    "chunk_documents": f"with {UNITS} select id, text, document_id, chunk_index, n_tokens, cast(unit_ord as varchar) as unit_ord from units",
+    "chunk_string_ids": f"with {UNITS.replace('cast(doc_id as varchar) as id', repr('doc-') + ' || doc_id as id')} select id, text, document_id, chunk_index, n_tokens from units",
+    "unit_metadata": f"""with {UNITS} select units.id, units.id as doc_id, document_id, cast(chunk_index as varchar) as chunk_index, lang, source, cast(n_chars as varchar) as n_chars
+        from units join documents on cast(doc_id as varchar) = document_id""",
     "chunk_statistics": f"with {UNITS} select count(distinct document_id) as documents, count(*) as text_units, {_cast('sum(n_tokens)')} as tokens, max(n_tokens) as longest from units",
     "document_units": f"""with {UNITS}, listed as (select document_id, string_agg(id, ',' order by chunk_index) as text_unit_ids from units group by document_id)
         select id, substring(text, 1, 2000) as text, id as title, text_unit_ids, ord from docs join listed on id = document_id""",
@@ -168,14 +173,14 @@ SQL = {
           substring(regexp_replace(p_name || '/' || p_type, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), 1, 64) as safe_key from k""",
     "keyword_lists": r"""with k as (select p_partkey, regexp_extract_all(p_name || ' ' || p_type || ' ' || p_brand, '\w{2,}') as l from part)
         select p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:12], ',') as keywords from k""",
-    "noun_phrases_topn": f"with {PHRASES} select unit_id, unit_ord, phrase_rank, title, norm_title from phrases",
+    "noun_phrases_topn": f"with {PHRASES} select unit_id, cast(unit_ord as varchar) as unit_ord, phrase_rank, title, norm_title from phrases",
     "fast_entities": f"with {ENTITIES} select {ENTITY_COLUMNS} from entities",
     "fast_entities_frequent": f"with {ENTITIES} select {ENTITY_COLUMNS} from entities where rank >= 3",
     "fast_relationships": f"with {ENTITIES} select {RELATION_COLUMNS} from relationships",
     "parts_in_orders": f"with {TRADE} select {ENTITY_COLUMNS} from entities",
     "cooccur_parts_in_orders": f"with {TRADE} select {RELATION_COLUMNS} from relationships",
     "entity_graph": f"with {TRADE} select least(a.id, b.id) as src, greatest(a.id, b.id) as dst, sum(weight) as weight from relationships r join entities a on a.norm_title = norm_source join entities b on b.norm_title = norm_target where a.id <> b.id group by 1, 2",
-    "entity_weighted_degree": f"with {TRADE} select e.id, sum(weight) as degree from relationships r join entities e on e.norm_title in (norm_source, norm_target) group by e.id",
+    "entity_weighted_degree": f"with {TRADE}, d as (select t, sum(weight) as w from (select norm_source as t, weight from relationships union all select norm_target, weight from relationships) group by t) select id, w as degree from entities join d on t = norm_title",
     "entity_rank": f"with {TRADE}, d as (select t, sum(weight) as w from (select norm_source as t, weight from relationships union all select norm_target, weight from relationships) group by t) select id, title, coalesce(w, 0) + rank as rank from entities left join d on t = norm_title",
     "edge_canonicalize": f"with {TRADE} select a.id as src_id, b.id as dst_id, r.description, weight from relationships r join entities a on a.norm_title = norm_source join entities b on b.norm_title = norm_target",
     "neighborhood_1hop": f"""with {TRADE}, ends as (select unnest([norm_source, norm_target]) as t from relationships where norm_source in ({_quoted(SEEDS)}) or norm_target in ({_quoted(SEEDS)}))
@@ -186,14 +191,16 @@ SQL = {
         u as (select distinct unit_id from phrases where norm_title in (select * from t) union select p.unit_id from pairs p join r on p.x = r.norm_source and p.y = r.norm_target)
         select 'entities' as part, id from e union all select 'relationships', id from r union all select 'chunks', unit_id from u
         union all select 'covariates', id from claims where norm_subject in (select * from t)
-        union all select 'documents', 'c' || c_custkey from customer where c_acctbal >= 0 and 'c' || c_custkey in (select document_id from units where id in (select unit_id from u))""",
+        union all select 'documents', 'c' || c_custkey from customer where c_acctbal >= 0 and 'c' || c_custkey in (select document_id from units where id in (select unit_id from u))
+        union all select 'communities', 'comm_' || b from (select distinct p_brand as b from part where 'part' || p_partkey in (select * from t))
+        union all select 'reports', 'report_comm_' || b from (select distinct p_brand as b from part where 'part' || p_partkey in (select * from t))""",
     "provenance_link": f"""with {LINKED}, e as (select unit_id, string_agg(id, ',' order by place) as l from unit_entities group by 1), r as (select unit_id, string_agg(id, ',' order by place) as l from unit_relations group by 1),
         c as (select unit_id, string_agg(id, ',' order by place) as l from unit_claims group by 1)
         select u.id, document_id, coalesce(e.l, '') as entity_ids, coalesce(r.l, '') as relationship_ids, coalesce(c.l, '') as covariate_ids from units u left join e on e.unit_id = u.id left join r on r.unit_id = u.id left join c on c.unit_id = u.id""",
     "provenance_documents": f"with {LINKED}, l as (select document_id, string_agg(id, ',' order by unit_ord) as ids from units group by 1) select d.id, title, d.text, coalesce(ids, '') as text_unit_ids from linked_documents d left join l on document_id = d.id",
     "provenance_orphans": f"""with {LINKED}, n as (select count(*) as u, count(*) filter (where id in (select unit_id from phrases)) as w from units)
         select (select count(*) from entities) as entities_with_sources, 0::bigint as orphan_entities, w as text_units_with_entities, u - w as orphan_text_units, (select count(*) from linked_documents) as documents from n""",
-    "resolve_entity": f"with {TRADE} select id, title, ord from entities where norm_title = 'part7'",
+    "resolve_entity": f"with {TRADE} select id, title, {ORD} from entities where norm_title = 'part7'",
     "entity_to_sources": f"""with {LINKED} select row_number() over (order by u.unit_ord) - 1 as place, u.id as text_unit_id, document_id, d.title as document_title, {_tokens("u.text")} as n_tokens, u.text, substring(u.text, 1, 240) as preview
         from phrases p join units u on u.id = p.unit_id join linked_documents d on d.id = document_id where p.norm_title = 'part7'""",
     "entity_to_relationships": f"""with {TRADE}, found as (select distinct x, y from pairs where x = 'part7' or y = 'part7' or unit_id in (select unit_id from phrases where norm_title = 'part7'))
@@ -203,31 +210,31 @@ SQL = {
     "document_to_graph": f"""with {LINKED}, f as (select e.id, any_value(e.title) as title, min(struct_pack(a := unit_ord, b := place)) as first from unit_entities e join units u on u.id = e.unit_id where document_id = 'c7' group by e.id)
         select row_number() over (order by first) - 1 as place, id, title from f""",
     "citations": f"""with {LINKED}, s as (select unit_id, string_agg(title, ',' order by place) as l from unit_entities where norm_title in ({_quoted(SEEDS)}) group by 1)
-        select unit_ord as place, u.id as text_unit_id, document_id, d.title as document_title, coalesce(l, '') as supports_entities, substring(u.text, 1, 280) as preview
+        select cast(unit_ord as bigint) as place, u.id as text_unit_id, document_id, d.title as document_title, coalesce(l, '') as supports_entities, substring(u.text, 1, 280) as preview
         from units u join linked_documents d on d.id = document_id left join s on s.unit_id = u.id""",
     "source_lines": f"""with {LINKED}, s as (select unit_id, string_agg(title, ', ' order by place) as l from unit_entities where place < 8 group by 1)
-        select unit_ord as place, u.id, '[' || u.id || '] document=' || d.title || coalesce('; entities: ' || l, '') || chr(10) || u.text as line from units u join linked_documents d on d.id = document_id left join s on s.unit_id = u.id""",
+        select cast(unit_ord as bigint) as place, u.id, '[' || u.id || '] document=' || d.title || coalesce('; entities: ' || l, '') || chr(10) || u.text as line from units u join linked_documents d on d.id = document_id left join s on s.unit_id = u.id""",
     "index_merge_entities": f"""with {_trade("o", "o_orderstatus = 'F'")}, {_trade("n", "o_orderstatus <> 'F'")}
-        select coalesce(o.id, n.id) as id, coalesce(o.title, n.title) as title, 'NOUN_PHRASE' as type, case when o.id is null then n.description when n.id is null then o.description else substring(o.description || '; ' || n.description, 1, 500) end as description,
-          concat_ws(',', o.text_unit_ids, n.text_unit_ids) as text_unit_ids, greatest(o.rank, n.rank) as rank, coalesce(o.norm_title, n.norm_title) as norm_title, coalesce(o.ord, n.ord) as ord from oentities o full join nentities n on o.id = n.id""",
+        select coalesce(o.id, n.id) as id, coalesce(o.title, n.title) as title, 'NOUN_PHRASE' as type, case when o.id is null then n.description when n.id is null then o.description else substring(o.description || '；' || n.description, 1, 500) end as description,
+          concat_ws(',', o.text_unit_ids, n.text_unit_ids) as text_unit_ids, greatest(o.rank, n.rank) as rank, coalesce(o.norm_title, n.norm_title) as norm_title, cast(coalesce(o.ord, n.ord) as varchar) as ord from oentities o full join nentities n on o.id = n.id""",
     "index_merge_relationships": f"""with {_trade("o", "o_orderstatus = 'F'")}, {_trade("n", "o_orderstatus <> 'F'")}
         select coalesce(o.id, n.id) as id, coalesce(o.source, n.source) as source, coalesce(o.target, n.target) as target,
-          case when o.id is null then n.description when n.id is null or contains(o.description, n.description) then o.description else substring(o.description || '; ' || n.description, 1, 500) end as description,
+          case when o.id is null then n.description when n.id is null or contains(o.description, n.description) then o.description else substring(o.description || '；' || n.description, 1, 500) end as description,
           coalesce(o.weight, 0) + coalesce(n.weight, 0) as weight, concat_ws(',', o.text_unit_ids, n.text_unit_ids) as text_unit_ids, coalesce(o.rank, n.rank) as rank, coalesce(o.norm_source, n.norm_source) as norm_source,
-          coalesce(o.norm_target, n.norm_target) as norm_target, coalesce(o.ord, n.ord) as ord from orelationships o full join nrelationships n on o.id = n.id""",
+          coalesce(o.norm_target, n.norm_target) as norm_target, cast(coalesce(o.ord, n.ord) as varchar) as ord from orelationships o full join nrelationships n on o.id = n.id""",
     "index_upsert": "select cast(p_partkey as varchar) as id, p_name as title from part where p_partkey not in (select s_suppkey from supplier) union all select cast(s_suppkey as varchar), s_name from supplier",
     "merge_extractions_entities": f"""with {EXTRACTED}, u as (select distinct norm_title, unit_ord, unit_id from said), l as (select norm_title, string_agg(unit_id, ',' order by unit_ord) as ids, count(*) as n from u group by 1)
         select {_hash("norm_title || '|' || any_value(type)", 16, "ent_")} as id, any_value(title) as title, any_value(type) as type,
           coalesce(array_to_string((list(said order by unit_ord, place) filter (where said is not null))[1:3], '; '), any_value(title)) as description, any_value(ids) as text_unit_ids, cast(any_value(n) as double) as rank, norm_title,
-          min(unit_ord * 1024 + place) as ord from said join l using (norm_title) group by norm_title""",
+          cast(min(unit_ord::hugeint * 1000000 + place) as varchar) as ord from said join l using (norm_title) group by norm_title""",
     "merge_extractions_relationships": f"""with {EXTRACTED}, r as (select 'o' || l_orderkey as unit_id, l_orderkey as unit_ord, i as place, l_suppkey as s, l_partkey as p, l_quantity as q from lined),
         l as (select s, p, string_agg(unit_id, ',' order by unit_ord) as ids from (select distinct s, p, unit_id, unit_ord from r) group by 1, 2)
         select {_relation("'supplier' || s", "'part' || p", "->")} as id, 'Supplier ' || s as source, 'Part ' || p as target, array_to_string(list_transform(range(0, least(3, count(*))), lambda x: 'supplies'), '; ') as description,
-          sum(q) as weight, any_value(ids) as text_unit_ids, 1.0::double as rank, 'supplier' || s as norm_source, 'part' || p as norm_target, min(unit_ord * 1024 + place) as ord from r join l using (s, p) group by s, p""",
-    "claims_dedupe": f"with {CLAIMS} select * from claims",
+          sum(q) as weight, any_value(ids) as text_unit_ids, 1.0::double as rank, 'supplier' || s as norm_source, 'part' || p as norm_target, cast(min(unit_ord::hugeint * 1000000 + place) as varchar) as ord from r join l using (s, p) group by s, p""",
+    "claims_dedupe": f"with {CLAIMS} select * replace (cast(ord as varchar) as ord) from claims",
     "claims_for_entities": f"with {TRADE}, {CLAIMS} select id, subject, description, status from claims where norm_subject in (select norm_title from entities)",
     "vector_missing_guard": f"select vec_id as id, case when label <= 2 then -1.0::double else round(list_cosine_similarity(embedding::double[], {_VECTOR}), 6) end as score, label = 0 as missing from embeddings",
-    "embed_texts": f"with {_GOLDEN} select id, " + ", ".join(f"round(cast(cast((2 * x{i} - 1) / {_norm8} as float) as double), 4) as v{i}" for i in range(2)) + " from s8",
+    "embed_texts": f"with {_HASHED} select id, " + ", ".join(f"round(cast(cast(x{i} / {_norm8} as float) as double), 4) as v{i}" for i in range(8)) + " from x",
     "choose_lists": f"""with g as (select n, configured, cast(case when n <= 0 then 1 when configured > 0 then least(configured, n) when n < 50 then greatest(1, n // 2) else least(100, greatest(10, floor(sqrt(n)))) end as bigint) as lists
         from (values {_values(LIST_SIZES)}) v(i, n, configured)) select cast(n as bigint) as n, cast(configured as bigint) as configured, lists, least(greatest(1, lists), 10) as probes from g""",
     "allocate_budget": f"""with g as (select i, greatest(256, t) as t, least(greatest(a::double, 0), 0.9::double) as a, least(greatest(b::double, 0), 0.9::double) as b from (values {_values(BUDGETS)}) v(i, t, a, b)),
@@ -244,10 +251,23 @@ SQL = {
           union all select t.source, t.doc_id, t.i, case when used + n > 4000 then n else used + n end, case when used + n > 4000 then batch + 1 else batch end from f join t on t.source = f.source and t.i = f.i + 1)
         select source, doc_id, cast(batch as bigint) as batch from f""",
     "report_level_select": "select 'report_comm_L1_' || n_nationkey as id, 1::bigint as level, n_name as title from nation",
-    "community_report_rank": f"""with {TREE} select community_id, cast(any_value(level) as bigint) as level, coalesce(nullif(sum(rank), 0), count(*)) as rank, count(*) as n_entities,
-        string_agg('- ' || title || ' (' || type || '): buys', chr(10) order by place) filter (where place <= 40) as entities from placed group by community_id""",
+    "community_report_rank": f"""with {TREE}, counted as (select community_id, cast(any_value(level) as bigint) as level, coalesce(nullif(sum(rank), 0), count(*)) as rank, count(*) as n_entities,
+        string_agg('- ' || title || ' (' || type || '): buys', chr(10) order by place) filter (where place <= 40) as entities from placed group by community_id),
+        f as (select c_custkey as k, c_custkey // 2 as t, c_custkey % 5 + 1 as w from customer where c_custkey >= 2),
+        touching as (select distinct m.community_id, k, t, w from f join members m on m.ord in (k, t)),
+        rels as (select community_id, string_agg('- Customer#' || lpad(k::varchar, 9, '0') || ' -> Customer#' || lpad(t::varchar, 9, '0') || ': follows (w=' || w || '.0)', chr(10) order by n) filter (where n <= 60) as relations, count(*) as n_relations
+          from (select *, row_number() over (partition by community_id order by k) as n from touching) group by 1),
+        said as (select m.community_id, e.*, row_number() over (partition by m.community_id order by event_id) as n from events e join members m on m.ord = user_id),
+        told as (select community_id, string_agg('- [' || case when value > 50 then 'SUSPECTED' else 'TRUE' end || '] Customer#' || lpad(user_id::varchar, 9, '0') || ': ' || event_type || case when event_id % 3 = 0 then ' (2024~)' else '' end, chr(10) order by n) as claims from said where n <= 40 group by 1),
+        bought as (select *, row_number() over (partition by o_custkey order by o_orderkey) as m from orders),
+        read as (select p.community_id, b.o_orderkey, b.o_orderpriority, row_number() over (partition by p.community_id order by place, m) as n from placed p join bought b on b.o_custkey = p.ord where place <= 20 and m <= 2),
+        lines as (select community_id, string_agg('- [o' || o_orderkey || '] Order ' || o_orderkey || ', ' || o_orderpriority, chr(10) order by n) as sources from read where n <= 12 group by 1)
+        select c.community_id, level, rank, n_entities, n_relations, entities, relations, claims, sources from counted c left join rels r on r.community_id = c.community_id left join told t on t.community_id = c.community_id left join lines l on l.community_id = c.community_id""",
     "community_members": f"with {TREE} select id, string_agg(community_id, ',' order by c_ord) as community_ids from members group by id",
-    "hierarchy_walk": "select 'report_comm_L1_' || n_nationkey as id, 'comm_L1_' || n_nationkey as community_id, 1::bigint as level, n_name as title from nation",
+    "hierarchy_walk": f"""with asked as (select [{_quoted(re.findall(r"[a-z0-9_]{4,}", WALK_QUESTION.lower()))}] as q), r as (select r_regionkey, r_name from region, asked where list_has_any(string_split(lower(r_name), ' '), q)),
+        n as (select n_nationkey, n_name, n_regionkey from nation join r on r_regionkey = n_regionkey, asked where list_has_any(string_split(lower(n_name), ' '), q))
+        select 'report_comm_L1_' || n_nationkey as id, 'comm_L1_' || n_nationkey as community_id, 1::bigint as level, n_name as title from n
+        union all select 'report_comm_L0_' || r_regionkey, 'comm_L0_' || r_regionkey, 0, r_name from r where r_regionkey not in (select n_regionkey from n)""",
     "community_reports": f"with {TREE} select 'report_' || community_id as id, cast(any_value(level) as bigint) as level, arg_min(title, place) as title, coalesce(nullif(sum(rank), 0), count(*)) as rank from placed group by community_id",
     "followups_dedupe": f"""with q as (select text as question, length(text) as score, conv_id * 1000 + turn as ord from conversations where length(text) >= 40 qualify row_number() over (partition by {_norm("text")} order by length(text) desc, conv_id * 1000 + turn) = 1)
         select question, score, ord from q order by score desc, ord limit 20""",
