@@ -39,7 +39,8 @@ def op6_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return va_file.all_nearest(_read(spark, sf_dir, "embeddings"))
+    vectors = _read(spark, sf_dir, "embeddings")
+    return va_file.search(vectors, vectors.filter(f"vec_id % {va_file.EVERY} = 0"))
 
 
 def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

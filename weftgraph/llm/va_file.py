@@ -1,4 +1,4 @@
-"""Exact nearest neighbours of every vector by vector-approximation files.
+"""Exact nearest neighbours of query vectors by vector-approximation files.
 
 Vectors lie in block files in the shared folder; beside each lies its approximation, one byte for the cell of each dimension,
 with the vector's distance from the centre of its cells. A search scans approximations block by block: the distance to a
@@ -108,18 +108,20 @@ def _store(folder: str, dim: int, low: np.ndarray, step: np.ndarray, block: int)
     return run
 
 
-def nearest(queries: np.ndarray, own: tuple[int, int], blocks: list[Block], k: int, low: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, neighbour id, distance) of the k nearest, in order, ties by id.
+def nearest(queries: np.ndarray, own: np.ndarray, blocks: list[Block], k: int, low: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, neighbour id, distance) of the k nearest, in order, ties by id; `own` are the queries' ids.
 
-    `own` is the number of the block and of its row where the queries begin; a vector isn't its own neighbour.
+    A vector of the query's own id isn't its neighbour.
     """
-    n, dim = queries.shape
+    n = len(queries)
     base = queries.astype(np.float32)
     norms = (base * base).sum(1)
     kth = np.full(n, np.inf, np.float32)
+    by_id = np.argsort(own, kind="stable")
+    asked = own[by_id]
     kept: list[tuple[np.ndarray, ...]] = []
     for number, block in enumerate(blocks):
-        codes, residues = block.codes(), block.residues()
+        codes, residues, ids = block.codes(), block.residues(), block.ids()
         for at in range(0, block.n, TILE):
             centre = low.astype(np.float32) + (codes[at : at + TILE].astype(np.float32) + 0.5) * step.astype(np.float32)
             size = (centre * centre).sum(1)
@@ -127,10 +129,9 @@ def nearest(queries: np.ndarray, own: tuple[int, int], blocks: list[Block], k: i
             slack = 1e-5 * (norms[:, None] + size[None])  # more than single precision can be off
             residue = residues[at : at + TILE]
             lower = np.sqrt(np.maximum(square - slack, 0)) - residue
-            if number == own[0]:
-                self_at = own[1] + np.arange(n) - at
-                here = np.flatnonzero((self_at >= 0) & (self_at < len(residue)))
-                lower[here, self_at[here]] = np.inf
+            first, last = (np.searchsorted(asked, ids[at : at + TILE], side) for side in ("left", "right"))
+            for v in np.flatnonzero(first < last):
+                lower[by_id[first[v] : last[v]], v] = np.inf
             if np.isinf(kth).any():
                 upper = np.sqrt(np.maximum(square + slack, 0)) + residue
                 upper[np.isinf(lower)] = np.inf
@@ -179,56 +180,67 @@ def nearest(queries: np.ndarray, own: tuple[int, int], blocks: list[Block], k: i
     return q[order], ids[order], exact[order]
 
 
-def _search(listed: list[tuple[str, int]], dim: int, k: int, low: np.ndarray, step: np.ndarray):
+def _search(listed: list[tuple[str, int]], dim: int, k: int, low: np.ndarray, step: np.ndarray, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [Block(path, n, dim) for path, n in listed]
-        numbers = {path: i for i, (path, _) in enumerate(listed)}
         for batch in batches:
-            for path, first, last in zip(*(c.to_pylist() for c in batch.columns)):
-                block = blocks[numbers[path]]
-                rows = np.arange(first, last)
-                q, near, distance = nearest(block.vectors(rows), (numbers[path], first), blocks, k, low, step)
-                own = block.ids()[rows]
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                own = part.column(0).to_numpy()
+                q, near, distance = nearest(_matrix(part.column(1), dim), own, blocks, k, low, step)
                 rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(rank), pa.array(near), pa.array(np.round(distance, 6))], names=["vec_id", "rank", "neighbor_id", "distance"])
 
     return run
 
 
-def all_nearest(vectors: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
-    """The k nearest other vectors of every vector by Euclidean distance: (vec_id, rank, neighbor_id, distance).
+def _clean(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).filter("vec_id is not null and size(v) > 0")
+    return base.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def search(vectors: DataFrame, asked: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+    """The k nearest of `vectors` to each row of `asked` by Euclidean distance: (vec_id, rank, neighbor_id, distance).
 
     Exact; for unit vectors the order is that of cosine similarity. Ties go by the neighbour's id; distances are rounded to
-    six digits after ranking. A vector is never its own neighbour, while another row of equal id or value may be. With fewer
-    than k others, all are returned. The dimension is the most frequent one (the lesser of equals); vectors of another, and
-    null, empty or not finite ones, as well as null ids, neither ask nor answer. Other columns are not read.
+    six digits after ranking. A vector of the query's own id isn't its neighbour, while one of equal value may be. With fewer
+    than k others, all are returned. The dimension is the most frequent one of `vectors` (the lesser of equals); vectors of
+    another, and null, empty or not finite ones, as well as null ids, neither ask nor answer. Repeated rows ask and answer each.
+    Columns are read by the two names given alone; an empty table on either side gives an empty result.
+
+    Each task holds `queries` queries at most against all approximations, one block of `block` vectors at a time.
     """
     spark = vectors.sparkSession
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).filter("vec_id is not null and size(v) > 0")
-    base = base.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    base = _clean(vectors, id_col, vector_col)
     empty = spark.createDataFrame([], "vec_id long, rank long, neighbor_id long, distance double")
     common = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if common is None:
         return empty
     dim = common["dim"]
     base = base.filter(F.size("v") == dim)
+    wanted = scratch.written(_clean(asked, id_col, vector_col).filter(F.size("v") == dim), "asked")
+    n = wanted.count()
     limits = base.mapInArrow(_bounds(dim), "d long, low double, high double").groupBy("d").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("d").collect()
     low, high = (np.array([r[c] for r in limits]) for c in ("low", "high"))
     step = np.maximum((high - low) / LEVELS, 1e-12)
     stored = scratch.written(base.mapInArrow(_store(scratch.path(spark, "va"), dim, low, step, block), "path string, n long"), "blocks")
     listed = [(r["path"], r["n"]) for r in stored.orderBy("path").collect()]  # one short row for each block
-    asked = stored.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(queries).cast("long"))).alias("first"), "n")
-    asked = asked.select("path", "first", F.least(F.col("first") + queries, "n").alias("last"))
-    tasks = max(1, sum(-(-n // queries) for _, n in listed))
-    asked = asked.repartitionByRange(min(tasks, 1 << 15), "path", "first")
-    return asked.mapInArrow(_search(listed, dim, k, low, step), "vec_id long, rank long, neighbor_id long, distance double")
+    tasks = max(-(-n // queries), min(n, spark.sparkContext.defaultParallelism), 1)
+    return wanted.repartition(tasks, "vec_id").mapInArrow(_search(listed, dim, k, low, step, queries), "vec_id long, rank long, neighbor_id long, distance double")
+
+
+def all_nearest(vectors: DataFrame, k: int = 10, **options) -> DataFrame:
+    """`search` with every vector as a query: work that grows with the square of the table."""
+    return search(vectors, vectors, k, **options)
 
 
-#: DuckDB SQL of `all_nearest` over the table embeddings, for k = 10.
-SQL = """
+#: The query set of the registered query: every vector whose id is divisible by this.
+EVERY = 100
+#: DuckDB SQL of the registered query over the table embeddings, for k = 10.
+SQL = f"""
 with pairs as (
   select a.vec_id, b.vec_id as neighbor_id, list_distance(cast(a.embedding as double[]), cast(b.embedding as double[])) as d
-  from embeddings a join embeddings b on a.vec_id <> b.vec_id
+  from (select * from embeddings where vec_id % {EVERY} = 0) a join embeddings b on a.vec_id <> b.vec_id
 ), ranked as (
   select *, row_number() over (partition by vec_id order by d, neighbor_id) as rank from pairs
 )
