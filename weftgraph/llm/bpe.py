@@ -155,6 +155,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def encode_any(text: str, own: Coder, pattern: str = PATTERN) -> np.ndarray:
+    """One text on one task; what is long goes by parts, as the encoder's time grows faster than an unsplit piece."""
+    if len(text) <= PART_BYTES // 4:
+        return own.encoding.encode_to_numpy(text)
+    return np.array(encode_text(text, own, PART_BYTES, pattern), np.uint32)
+
+
 def _encode_short(ranks: str, pattern: str, count_only: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks, pattern)
@@ -163,7 +170,7 @@ def _encode_short(ranks: str, pattern: str, count_only: bool) -> Callable:
             for b in blocks(batch.column(1)):
                 n = len(b.offsets) - 1
                 texts = batch.column(1).slice(b.first, n).to_pylist()
-                tokens = [own.encoding.encode_to_numpy(t) if t else np.zeros(0, np.uint32) for t in texts]
+                tokens = [encode_any(t, own, pattern) if t else np.zeros(0, np.uint32) for t in texts]
                 size = pa.array(np.array([len(x) for x in tokens], np.int64))
                 here = valid.slice(b.first, n)
                 columns = [batch.column(0).slice(b.first, n), pc.if_else(here, size, pa.scalar(None, pa.int64()))]
@@ -189,20 +196,27 @@ def _cut_long(most: int, pattern: str) -> Callable:
                 parts = list(cut_text(batch.column(2)[i].as_py(), most, pattern))
                 row = pa.array(np.full(len(parts), i))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(row) for k in (0, 1, 3)), pa.array(np.arange(len(parts))), pa.array([j for _, j in parts], pa.bool_()), pa.array([p for p, _ in parts], pa.binary())],
-                    names=["doc_id", "key", "copies", "part", "joins", "bytes"],
+                    [*(batch.column(k).take(row) for k in (0, 1)), pa.array(np.arange(len(parts))), pa.array([j for _, j in parts], pa.bool_()), pa.array([p for p, _ in parts], pa.binary())],
+                    names=["doc_id", "key", "part", "joins", "bytes"],
                 )
 
     return run
 
 
 def _encode_parts(ranks: str, pattern: str) -> Callable:
+    """Sorted by key and part; a part that is there again, as its row is repeated, is left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(ranks, pattern)
+        own, before = coder(ranks, pattern), None
         for batch in batches:
-            joins = batch.column(4).to_pylist()
-            tokens = [own.encoding.encode_to_numpy(p.decode()) if j is False else np.array(own.encoding._encode_single_piece(p), np.uint32) for j, p in zip(joins, batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], _lists(tokens)], names=[*batch.schema.names, "tokens"])
+            keep, tokens = [], []
+            for i, (key, part, joins) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+                if (key, part) != before:
+                    before = (key, part)
+                    piece = batch.column(4)[i].as_py()
+                    keep.append(i)
+                    tokens.append(own.encoding.encode_to_numpy(piece.decode()) if joins is False else np.array(own.encoding._encode_single_piece(piece), np.uint32))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, _lists(tokens)], names=[*batch.schema.names, "tokens"])
 
     return run
 
@@ -211,10 +225,10 @@ def _assemble(ranks: str, pattern: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks, pattern)
         for batch in batches:
-            done, good = [], []
-            for row in batch.column(1).to_pylist():
+            for i in range(batch.num_rows):
                 tokens: list[int] = []
                 tree: list[list[int]] = []
+                row = batch.column(2)[i].as_py()
                 for part in row:
                     if part["joins"] is not True and tree:
                         tokens += tree_join(tree, own)
@@ -224,10 +238,9 @@ def _assemble(ranks: str, pattern: str) -> Callable:
                     else:
                         tree.append(part["tokens"])
                 tokens += tree_join(tree, own)
-                done.append(np.array(tokens, np.uint32))
-                good.append(own.encoding.decode_bytes(tokens) == b"".join(part["bytes"] for part in row))
-            size = pa.array(np.array([len(x) for x in done], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, _lists(done), pa.array(good), batch.column(2)], names=["doc_id", "n_tokens", "token_ids", "round_trip", "copies"])
+                good = own.encoding.decode_bytes(tokens) == b"".join(part["bytes"] for part in row)
+                done = [pa.array([len(tokens)], pa.int64()), _lists([np.array(tokens, np.uint32)]), pa.array([good])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *done], names=["doc_id", "key", "n_tokens", "token_ids", "round_trip"])
 
     return run
 
@@ -235,32 +248,36 @@ def _assemble(ranks: str, pattern: str) -> Callable:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str = RANKS, pattern: str = PATTERN, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip) for each row; round_trip says that decoding gave the text back.
 
-    Only texts of more than `part_bytes` are shuffled, part by part. A null text gives null tokens, an empty one an empty
-    list; null ids stay null; repeated rows are encoded each. Other columns are not read.
+    Only texts of more than `part_bytes` are shuffled, cut into parts before. A null text gives null tokens, an empty one an
+    empty list; null ids stay null; repeated rows are encoded each. Other columns are not read; an empty table gives an empty
+    result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     is_long = F.coalesce(F.octet_length("text") > part_bytes, F.lit(False))
     short = base.filter(~is_long).mapInArrow(_encode_short(ranks, pattern, False), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
-    long = base.filter(is_long).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    key = F.concat(F.hex(F.xxhash64("text")), F.hex(F.hash("text"))).alias("key")
+    key = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")), F.hex(F.hash("text"))).alias("key")
+    long = base.filter(is_long).select("doc_id", key, "text")
+    repeated = long.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
     parts = (
-        long.select("doc_id", key, "text", "copies")
-        .mapInArrow(_cut_long(part_bytes, pattern), "doc_id long, key string, copies long, part long, joins boolean, bytes binary")
+        long.mapInArrow(_cut_long(part_bytes, pattern), "doc_id long, key string, part long, joins boolean, bytes binary")
         .repartition("key", "part")
-        .mapInArrow(_encode_parts(ranks, pattern), "doc_id long, key string, copies long, part long, joins boolean, bytes binary, tokens array<int>")
+        .sortWithinPartitions("key", "part")
+        .mapInArrow(_encode_parts(ranks, pattern), "doc_id long, key string, part long, joins boolean, bytes binary, tokens array<int>")
     )
     whole = (
-        parts.groupBy("doc_id", "key", "copies")
+        parts.groupBy("doc_id", "key")
         .agg(F.sort_array(F.collect_list(F.struct("part", "joins", "bytes", "tokens"))).alias("parts"))
-        .select("doc_id", "parts", "copies")
-        .mapInArrow(_assemble(ranks, pattern), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean, copies long")
+        .mapInArrow(_assemble(ranks, pattern), "doc_id long, key string, n_tokens long, token_ids array<int>, round_trip boolean")
     )
-    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "copy")
-    return short.union(whole)
+    whole = whole.join(repeated, "key", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
+    return short.union(whole.select("doc_id", "n_tokens", "token_ids", "round_trip"))
 
 
 def count_tokens(docs: DataFrame, id_col: str, text_col: str, carried: list[str], *, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """(key, n_tokens), key a struct of the id and the carried columns: exact numbers of BPE tokens, without a shuffle."""
+    """(key, n_tokens), key a struct of the id and the carried columns: exact numbers of BPE tokens, without a shuffle.
+
+    Long texts are encoded by parts within their task, so a piece without any split takes no more time than its length.
+    """
     key = F.struct(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in carried]).alias("key")
     fed = docs.select(key, F.col(text_col).cast("string").alias("text"))
     run = _encode_short(ranks, pattern, True)
@@ -273,7 +290,11 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str, carried: list[str]
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", tokens_col: str = "token_ids", *, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, text) of token lists. A null list gives null; bytes that are no UTF-8 become replacement characters."""
+    """(doc_id, text) of token lists. A null list gives null; bytes that are no UTF-8 become replacement characters.
+
+    An empty list gives an empty text, an empty table an empty result; lists of any length are decoded whole, repeated rows
+    each, null ids stay null, and other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks, pattern)
