@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm import bpe, scratch
 
 SEED = 17
+#: The sources that may be too small for the default budget have so much of the weight at most.
+SHORT = 0.1
 
 
 def knapsack(lengths: list[int], counts: list[int], room: int) -> list[int]:
@@ -42,9 +44,11 @@ def knapsack(lengths: list[int], counts: list[int], room: int) -> list[int]:
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
-    """Numbers of documents to take by length, for as near to `budget` tokens as can be reached from below.
+    """Numbers of documents to take by length, for `budget` tokens or nearly so, never more.
 
-    If the rest after the common share can't be filled exactly, more and more of that share is given back to the search.
+    If the rest after the common share can't be filled exactly, more and more of that share is given back to the search, up to
+    64 times the greatest length, so that its sums stay small. Lengths that hardly differ and are long (10 000 and 10 001, say)
+    may need more than that; the sum is then the nearest one found from below, less than one document away.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -86,6 +90,7 @@ def mix_sources(
     *,
     weights: dict[str, float] | None = None,
     budget: int | None = None,
+    short: float = SHORT,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -95,8 +100,9 @@ def mix_sources(
     """Documents chosen so that each source has its weight's part of the tokens: (doc_id, source, n_tokens).
 
     `weights` are by default equal for all sources that occur; sources without a weight, or without tokens, get nothing, and
-    the others' weights are scaled to 1. `budget`, in BPE tokens, is by default the largest that every source can fill without
-    repeating a document. A source that can't fill its part gives all it has.
+    the others' weights are scaled to 1. `budget`, in BPE tokens, is by default the largest that sources with all but `short` of
+    the weight can fill without repeating a document, so that a stray source of few documents doesn't shrink the corpus. A source
+    that can't fill its part gives all it has, and its share is then less than its weight.
 
     Rows with a null id or source, and null or empty texts, are never chosen. Rows that share an id are one document, of the
     least source and length. Ties of the seeded hash go by id. Other columns are not read. An empty table gives none.
@@ -114,7 +120,10 @@ def mix_sources(
         weighed = sums.join(F.broadcast(given), "source")
     everywhere = Window.partitionBy(F.lit(0))  # one row a source
     weighed = weighed.withColumn("weight", F.col("weight") / F.sum("weight").over(everywhere))
-    most = F.min(F.col("tokens") / F.col("weight")).over(everywhere) if budget is None else F.lit(float(budget))
+    if budget is None:
+        upto = Window.partitionBy(F.lit(0)).orderBy(F.col("tokens") / F.col("weight"), "source").rowsBetween(Window.unboundedPreceding, 0)
+        weighed = weighed.withColumn("weight_upto", F.sum("weight").over(upto))
+    most = F.min(F.when(F.col("weight_upto") > short + 1e-9, F.col("tokens") / F.col("weight"))).over(everywhere) if budget is None else F.lit(float(budget))
     parts = weighed.withColumn("part", F.floor(most * F.col("weight") + F.lit(1e-6)).cast("long")).select("source", "part")
 
     def fit(one: pd.DataFrame) -> pd.DataFrame:
