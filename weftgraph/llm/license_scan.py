@@ -216,7 +216,8 @@ def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLAT
     copies counts such places, the other columns tell of the best one, the first of equals. Words are numbered from 0. A
     license with several templates may have several rows.
 
-    Null and empty texts have none; a null id stays null; repeated rows are scanned each. Other columns are not read.
+    Null and empty texts have none; a null id stays null; repeated rows are scanned each; texts of any length are scanned whole.
+    Other columns are not read; an empty table gives an empty result.
     """
     found = _scan(compile_templates(templates, min_coverage))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

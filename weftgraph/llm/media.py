@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import scratch
@@ -138,19 +138,20 @@ def store_payloads(rows: DataFrame, folder: str, *, id_col: str, payload_col: st
     """Write every distinct payload to tar shards in `folder`; returns (digest, shard, offset, length, codec, n_bytes).
 
     The digest is the SHA-256 of the payload; offset and length are of its bytes within the tar file. Payloads that are text
-    are deflated, others stored as they are. Only digests are shuffled: of several rows with one digest those with a higher
-    id don't write. Where these ids outgrow what Spark broadcasts, the join that leaves them out becomes a shuffle. Null
-    payloads are left out; an empty one is stored.
+    are deflated, others stored as they are. Only digests are shuffled, pre-aggregated: of several rows with one digest those
+    with a higher id don't write. Where these ids outgrow what Spark broadcasts, the join that leaves them out becomes a shuffle.
+    Null payloads are left out; an empty one is stored. Rows equal in payload and in id, or both without an id, are stored once
+    by each task that holds one; the first of these by shard's name counts.
     """
-    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(payload_col).cast("binary").alias("payload")).filter("payload is not null")
-    found = base.select("id", F.unhex(F.sha2("payload", 256)).alias("digest"), "payload")
-    place = F.rank().over(Window.partitionBy("digest").orderBy("id"))
-    repeated = scratch.written(found.select("id", "digest").withColumn("place", place).filter("place > 1").select("id", "digest").distinct(), "repeated")
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    found = rows.select(own.alias("id"), F.col(payload_col).cast("binary").alias("payload")).filter("payload is not null")
+    found = found.select("id", F.unhex(F.sha2("payload", 256)).alias("digest"), "payload")
+    twice = found.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
+    repeated = scratch.written(found.select("id", "digest").join(twice, "digest").filter("id > least").select("id", "digest").distinct(), "repeated")
     writers = found.join(repeated, ["id", "digest"], "left_anti").select("digest", "payload")
     stored = scratch.written(writers.mapInArrow(_write(folder, shard_bytes), STORED), "stored")
-    # rows equal in id and payload may have been stored by several tasks; the first shard by name counts
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("shard", "offset"))
-    return stored.withColumn("nth", nth).filter("nth = 1").drop("nth")
+    place = [F.col(c) for c in ("shard", "offset", "length", "codec", "n_bytes")]
+    return stored.groupBy("digest").agg(F.min(F.struct(*place)).alias("place")).select("digest", "place.*")
 
 
 def media_columns(rows: DataFrame, *, id_col: str = "page_id", payload_col: str = "html", folder: str | None = None, shard_bytes: int = SHARD_BYTES, header_bytes: int = HEADER_BYTES) -> DataFrame:
@@ -158,7 +159,8 @@ def media_columns(rows: DataFrame, *, id_col: str = "page_id", payload_col: str
 
     Header columns come from the first `header_bytes` stored bytes alone and are null where these don't show them. A null
     payload has null columns throughout; an empty one is of type application/x-empty. Equal payloads share one place.
-    Repeated rows are returned each. Other columns are not read. `folder` is by default within the shared folder.
+    Repeated rows and those without an id are returned each. Payloads of any length are stored whole. Other columns are not
+    read; an empty table gives an empty result. `folder` is by default within the shared folder; shards have random names.
     """
     folder = folder or scratch.path(rows.sparkSession, "shards")
     places = store_payloads(rows, folder, id_col=id_col, payload_col=payload_col, shard_bytes=shard_bytes)

@@ -159,7 +159,8 @@ def flag_urls(pages: DataFrame, cascade: Cascade, *, id_col: str = "page_id", ur
     """(page_id, url, host_listed, url_listed, listed) for each row: whether the page's host or URL key is on the list.
 
     Exact for pages of the universe that the cascade was built for. A null URL is on no list, an empty one only if the empty
-    key is; repeated rows are flagged each; other columns are not read.
+    key is; repeated rows are flagged each; other columns are not read; URLs of any length are whole keys. An empty table gives
+    an empty result.
     """
     keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     found = {"host_listed": host_key(F.col("url")), "url_listed": url_key(F.col("url"))}
