@@ -499,12 +499,13 @@ def test_risk_and_its_derivatives_match_a_loop():
 
 def test_counts_are_of_all_documents(spark):
     rows = [(i, prose(12, i) + " twice twice", "s") for i in range(50)] + [(90, None, "s"), (91, "", "s")]
-    counts, n = toxicity.document_counts(docs(spark, rows).select("text"))
-    want = np.zeros(1 << toxicity.BITS)
-    for _, t, _ in rows:
-        if t:
-            want[toxicity.features(next(blocks(pa.array([t]))))[1]] += 1
-    assert n == 50 and np.array_equal(counts, want)
+    found = toxicity.document_counts(docs(spark, rows).selectExpr("doc_id % 5 = 0 as toxic", "text"))
+    for toxic, size in ((False, 50), (True, 10)):
+        want = np.zeros(1 << toxicity.BITS)
+        for i, t, _ in rows:
+            if t and (not toxic or i % 5 == 0):
+                want[toxicity.features(next(blocks(pa.array([t]))))[1]] += 1
+        assert found[toxic][1] == size and np.array_equal(found[toxic][0], want)
 
 
 def test_toxicity_of_odd_rows(spark):

@@ -53,53 +53,71 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return both >> BITS, both & mask
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in blocks(batch.column(1)):
-            n = len(b.offsets) - 1
-            row, feature = features(b)
-            offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, n), lists], names=["toxic", "features"])
+def _featurise(chosen: np.ndarray):
+    """Of each text the chosen features, and whether it has any feature at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch.column(1)):
+                n = len(b.offsets) - 1
+                row, feature = features(b)
+                some = np.bincount(row, minlength=n) > 0
+                use = chosen[feature]
+                row, feature = row[use], feature[use]
+                offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, n), pa.array(some), lists], names=["toxic", "some", "features"])
+
+    return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of the task each feature occurs, by slices; slice -1 is the number of texts with any feature."""
-    total, texts = np.zeros(1 << BITS, np.int64), 0
+    """In how many texts of the task each feature occurs, by slices; slice -1 is the number of texts with any feature.
+
+    Rows are (toxic, text); toxic texts count a second time, in counts of their own.
+    """
+    total, texts = {k: np.zeros(1 << BITS, np.int64) for k in (False, True)}, {False: 0, True: 0}
     for batch in batches:
-        for b in blocks(batch.column(0)):
+        for b in blocks(batch.column(1)):
+            n = len(b.offsets) - 1
             row, feature = features(b)
-            total += np.bincount(feature, minlength=len(total))
-            texts += len(np.unique(row))
-    if texts:
-        parts = total.reshape(-1, SLICE)
-        used = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([np.array([texts]).tobytes(), *(parts[i].tobytes() for i in used)], pa.binary())], names=["slice", "counts"])
+            toxic = batch.column(0).slice(b.first, n).to_numpy(zero_copy_only=False).astype(bool)
+            for k, use in ((False, np.ones(len(row), bool)), (True, toxic[row])):
+                if use.any():
+                    total[k] += np.bincount(feature[use], minlength=1 << BITS)
+                    texts[k] += len(np.unique(row[use]))
+    for k in total:
+        if texts[k]:
+            parts = total[k].reshape(-1, SLICE)
+            used = np.flatnonzero(parts.any(1))
+            counts = pa.array([np.array([texts[k]]).tobytes(), *(parts[i].tobytes() for i in used)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([k] * (len(used) + 1)), pa.array([-1, *used.tolist()], pa.int32()), counts], names=["toxic", "slice", "counts"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+    held: dict[tuple[bool, int], np.ndarray] = {}
     for batch in batches:
-        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held[i] = held[i] + np.frombuffer(raw, np.int64) if i in held else np.frombuffer(raw, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["slice", "counts"])
+        for k, i, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            held[k, i] = held.get((k, i), 0) + np.frombuffer(raw, np.int64)
+    keys = list(held)
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.bool_()), pa.array([i for _, i in keys], pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["toxic", "slice", "counts"])
 
 
-def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many of all texts (one column) each feature occurs, and how many have any: summed by task, then by slice.
+def document_counts(texts: DataFrame) -> dict[bool, tuple[np.ndarray, int]]:
+    """In how many of all texts, at False, and of the toxic ones, at True, each feature occurs, and how many have any.
 
-    What comes to the driver is 2 MB, whatever the input.
+    `texts` are (toxic, text). Counts are summed by task, then by slice; what comes to the driver is 4 MB, whatever the input.
     """
-    kind = "slice int, counts binary"
-    summed = texts.mapInArrow(_count, kind).repartition("slice").mapInArrow(_add, kind).collect()
-    total, n = np.zeros(1 << BITS), 0
+    kind = "toxic boolean, slice int, counts binary"
+    summed = texts.mapInArrow(_count, kind).repartition("toxic", "slice").mapInArrow(_add, kind).collect()
+    found = {k: [np.zeros(1 << BITS), 0] for k in (False, True)}
     for r in summed:
         counts = np.frombuffer(bytes(r["counts"]), np.int64)
         if r["slice"] < 0:
-            n = int(counts[0])
+            found[r["toxic"]][1] = int(counts[0])
         else:
-            total[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = counts
-    return total, n
+            found[r["toxic"]][0][r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = counts
+    return {k: (x, n) for k, (x, n) in found.items()}
 
 
 def _sums(weight: np.ndarray, feature: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -107,22 +125,20 @@ def _sums(weight: np.ndarray, feature: np.ndarray, heads: np.ndarray) -> np.ndar
     return total[heads[1:]] - total[heads[:-1]]
 
 
-def evidence(toxic: list[np.ndarray], counts: np.ndarray, n: int, prior: float, least: float = 22.0, strong: float = 1.0, smooth: float = 0.5) -> np.ndarray:
-    """The value of each feature, from the toxic documents' features and the counts of all n documents.
+def evidence(p: np.ndarray, toxic: int, u: np.ndarray, n: int, prior: float, least: float = 22.0, strong: float = 1.0, smooth: float = 0.5) -> np.ndarray:
+    """The value of each feature, from the document counts p of the toxic documents and u of all n documents.
 
     It is the signed square of the log odds, 0 unless these are `strong` and a likelihood ratio test gives `least`. The rate
     among documents that aren't toxic is what the unlabelled rate leaves after the share of toxic ones, 0 at least.
     """
-    dims = 1 << BITS
-    p, u = np.bincount(np.concatenate(toxic), minlength=dims).astype(float), counts.astype(float)
-    pr, ur = p / len(toxic), u / n
+    pr, ur = p / toxic, u / n
     clean = np.maximum(0, ur - prior * pr) / (1 - prior)
-    pooled = (p + u) / (len(toxic) + n)
-    ratio = np.zeros(dims)
-    for count, of in ((p, len(toxic)), (u, n)):
+    pooled = (p + u) / (toxic + n)
+    ratio = np.zeros(len(p))
+    for count, of in ((p, toxic), (u, n)):
         for seen, expected in ((count, pooled * of), (of - count, (1 - pooled) * of)):
             ratio += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
-    odds = np.log((pr + smooth / len(toxic)) / (clean + smooth / len(toxic)))
+    odds = np.log((pr + smooth / toxic) / (clean + smooth / toxic))
     return np.where((ratio >= least) & (np.abs(odds) >= strong), odds * np.abs(odds) / 3, 0.0)
 
 
@@ -203,9 +219,17 @@ def train(
     toxic = known.filter("toxic = 1").select("doc_id").distinct().orderBy(by, "doc_id").limit(max_toxic)
     other = base.select("doc_id").distinct().orderBy(by, "doc_id").limit(max_unlabelled)
     # both lists are bounded by parameters, so they may be broadcast
+    marked = base.join(F.broadcast(toxic.withColumn("toxic", F.lit(True))), "doc_id", "left").select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "text")
+    counts = document_counts(marked)
+    if not counts[True][1]:
+        return Model(np.zeros(1 << BITS), -1.0, prior)
+    value = evidence(*counts[True], *counts[False], prior)
+    if not value.any():
+        return Model(np.zeros(1 << BITS), -1.0, prior)
     sample = toxic.withColumn("is_toxic", F.lit(True)).union(other.withColumn("is_toxic", F.lit(False)))
-    rows = base.join(F.broadcast(sample), "doc_id").select(F.col("is_toxic").alias("toxic"), "text").mapInArrow(_featurise, "toxic boolean, features array<int>").toArrow()
-    flat = rows.combine_chunks()
+    # of each sampled document a few features are left
+    rows = base.join(F.broadcast(sample), "doc_id").select(F.col("is_toxic").alias("toxic"), "text").mapInArrow(_featurise(value != 0), "toxic boolean, some boolean, features array<int>")
+    flat = rows.filter("some").select("toxic", "features").toArrow().combine_chunks()
     sets: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     if flat.num_rows:
         lists = flat["features"].combine_chunks()
@@ -215,13 +239,9 @@ def train(
         order = sorted(range(len(own)), key=lambda i: (len(own[i]), own[i].tobytes()))  # independent of the rows' order
         marks = flat["toxic"].to_numpy()
         for i in order:
-            if len(own[i]):
-                sets[0 if marks[i] else 1].append(own[i])
+            sets[0 if marks[i] else 1].append(own[i])
     if not sets[0] or not sets[1]:
         return Model(np.zeros(1 << BITS), -1.0, prior)
-    value = evidence(sets[0], *document_counts(base.select("text")), prior)
-    if not value.any():
-        return Model(np.zeros(1 << BITS), -1.0, prior)
     found = [fit_non_negative(*sets, prior, value, seed=seed + i) for i in range(classifiers)]
     return Model(np.mean([x.weight for x in found], 0), float(np.mean([x.bias for x in found])), prior)
 
