@@ -474,11 +474,11 @@ _bases: dict[tuple[str, str], KnowledgeBase] = {}
 
 
 def _base(spark: SparkSession, d: str) -> KnowledgeBase:
-    """A knowledge base of all documents, built once for each application."""
+    """A knowledge base of all benchmark passages, built once for each application."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _bases:
-        base = KnowledgeBase(spark, f"{lineage.folder(spark)}/{uuid.uuid4().hex}", "corpus", llm=RuleModel(), embedder=HashEmbedder())
-        base.build(_read(spark, d, "documents"))
+        base = KnowledgeBase(spark, f"{lineage.folder(spark)}/{uuid.uuid4().hex}", "passages", llm=RuleModel(), embedder=HashEmbedder())
+        base.build(_read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
         _bases[key] = base
     return _bases[key]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.lineage import cut
+
 
 def touching(relationships: DataFrame, titles: DataFrame) -> DataFrame:
     """Relationships with an endpoint among `titles` (norm_title): endpoints are exploded, so that it is an equi-join."""
@@ -38,9 +40,10 @@ def _ids(rows: DataFrame, column: str) -> DataFrame:
 
 def slice_model(model: dict[str, DataFrame], seeds: DataFrame, include_neighbours: bool = True) -> dict[str, DataFrame]:
     """All seven tables around the seeds (id)."""
-    entities, relationships = expand(model["entities"], model["relationships"], seeds, include_neighbours)
+    entities, relationships = (cut(x) for x in expand(model["entities"], model["relationships"], seeds, include_neighbours))  # all others follow from them
     units = model["chunks"].join(_ids(entities, "text_unit_ids").union(_ids(relationships, "text_unit_ids")).distinct(), "id", "left_semi")
     communities = _ids(entities, "community_ids")
+    units = cut(units)
     return {
         "entities": entities,
         "relationships": relationships,

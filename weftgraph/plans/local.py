@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import budget
 from weftgraph.functions.text import claim_line, entity_line, history_block, relation_line, unit_line
+from weftgraph.lineage import cut
 from weftgraph.models import ask, embed_missing
 from weftgraph.operators import provenance, subgraph
 from weftgraph.operators.vectors import exact_top, search_or_exact
@@ -33,7 +34,7 @@ def _meta(**told: F.Column) -> F.Column:
 
 
 def _numbered(rows: DataFrame, *order: Any) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 def _block(rows: DataFrame, line: F.Column, heading: str) -> str | None:
@@ -83,17 +84,18 @@ def local_context(
     if chosen is None:
         full = embed_missing(entities, embedder, entity_text(), "description_embedding")
         chosen = _numbered(exact_top(full, vector, top_entities, vector="description_embedding", tie=(F.desc("rank"), "ord", "id")), F.desc("score"), F.desc("rank"), "ord", "id")
-    chosen = chosen.persist()
+    chosen = cut(chosen)  # a few rows, which everything else begins with
     if chosen.isEmpty():
         raise ValueError("no entity matches the question")
     ids = [r["id"] for r in chosen.orderBy("place").select("id").collect()]
-    relations = _numbered(subgraph.touching(model["relationships"], chosen).orderBy(F.desc("weight"), F.desc("rank"), "ord", "id").limit(top_relationships), F.desc("weight"), F.desc("rank"), "ord", "id").persist()
+    heaviest = (F.desc("weight"), F.desc("rank"), "ord", "id")
+    relations = cut(_numbered(subgraph.touching(model["relationships"], chosen).orderBy(*heaviest).limit(top_relationships), *heaviest))
     near = _numbered(subgraph.neighbours(entities, relations, chosen).orderBy(F.desc("rank"), "ord", "id").limit(top_entities), F.desc("rank"), "ord", "id")
     held = chosen.select(F.explode("community_ids").alias("community_id")).distinct()
-    reports = _numbered(model["reports"].join(held, "community_id", "left_semi"), F.desc("rank"), "ord", "id").persist()
+    reports = cut(_numbered(model["reports"].join(held, "community_id", "left_semi"), F.desc("rank"), "ord", "id"))
     unit_ids = chosen.select(F.explode("text_unit_ids").alias("id")).union(relations.select(F.explode("text_unit_ids"))).distinct()
     units = embed_missing(model["chunks"].join(unit_ids, "id", "left_semi"), embedder, F.col("text"), "embedding")
-    units = _numbered(exact_top(units, vector, top_units, tie=("unit_ord", "id")), F.desc("score"), "unit_ord", "id").persist()
+    units = cut(_numbered(exact_top(units, vector, top_units, tie=("unit_ord", "id")), F.desc("score"), "unit_ord", "id"))
     claims = _numbered(model["covariates"].join(chosen.select(F.col("norm_title").alias("norm_subject")), "norm_subject", "left_semi").orderBy("ord", "id").limit(top_claims), "ord", "id")
     col = F.col
     graph = [
