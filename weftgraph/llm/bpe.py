@@ -9,6 +9,7 @@ those of the sides: as every two neighbours in the result then stand as BPE woul
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -156,8 +157,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def encode_any(text: str, own: Coder, pattern: str = PATTERN) -> np.ndarray:
-    """One text on one task; what is long goes by parts, as the encoder's time grows faster than an unsplit piece."""
-    if len(text) <= PART_BYTES // 4:
+    """One text on one task; a long unsplit run makes it go by parts, as the encoder's time grows faster than such a run."""
+    if len(text) <= PART_BYTES // 4 or max(map(len, re.findall(r"\s+|\S+", text))) <= PART_BYTES // 4:
         return own.encoding.encode_to_numpy(text)
     return np.array(encode_text(text, own, PART_BYTES, pattern), np.uint32)
 
