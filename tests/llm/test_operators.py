@@ -159,6 +159,58 @@ def test_links_do_not_depend_on_blocks(spark):
     assert found[0] == found[1] and len(found[0]) > 30
 
 
+def test_no_pair_is_left_out_for_a_third_node(spark):
+    """0 is like 2 and 1 is like 3 in 0.8 of the registers, 2 and 3 agree in 0.5, all else in 0.3; 4 has the signature of 2."""
+    m = 60
+    zero, far = np.zeros(m, np.uint8), np.full(m, 9, np.uint8)
+    two, three = zero.copy(), zero.copy()
+    two[:12] = three[:12] = 1
+    three[30:] = 2
+    one = three.copy()
+    one[:12] = 3
+    rows = [(i, [7, 5, 100 + i], x.tobytes()) for i, x in enumerate((zero, one, two, three, two, far))] + [(6, [8, 6, 106], zero.tobytes())]
+    nodes = spark.createDataFrame(rows, "node long, bands array<long>, small binary")
+    for bucket in (1 << 15, 2, 1):
+        pairs = near_dedup.expanded(near_dedup.candidates(nodes, m, 0.31, 0.69, bucket), nodes)
+        assert sorted(map(tuple, pairs.collect())) == [(0, 2), (0, 4), (1, 3), (2, 3), (2, 4), (3, 4)]
+
+
+def test_every_link_is_counted(spark):
+    rng, texts = np.random.default_rng(6), []
+    for g in range(4):
+        base = prose(120, 700 + g).split()
+        for c in range(30):
+            changed = list(base)
+            for k in rng.integers(0, 120, c % 10):
+                changed[k] = f"new{rng.integers(9)}"
+            texts.append(" ".join([*changed, *changed[: 30 * (c % 3)]]))
+    texts += [" ".join(WORDS[:10]), " ".join(WORDS[:8] + WORDS[20:22]), " ".join(WORDS[:7] + WORDS[30:33])]
+    texts = sorted(set(texts))
+    rows = [(i, t, "s") for i, t in enumerate([*texts, texts[3].upper()])]
+    got = near_dedup.near_duplicates(docs(spark, rows)).collect()
+    sets = [weighted(t) for t in texts]
+    links = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if near_dedup.probability_jaccard(sets[i], sets[j]) >= near_dedup.THRESHOLD}
+    want = [sum(i in pair for pair in links) for i in range(len(texts))]
+    group = list(range(len(texts)))
+    for _ in group:
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+    assert {r["doc_id"]: (r["group_id"], r["n_links"]) for r in got} == {i: (group[i % len(texts)] if i < len(texts) else group[3], want[i] if i < len(texts) else want[3]) for i in range(len(rows))}
+    assert len(links) > 500 and any(want[i] < group.count(group[i]) - 1 for i in range(len(texts)))
+
+
+def test_similarities_at_the_threshold_meet_it():
+    rng = np.random.default_rng(8)
+    for n in range(1, 200):  # n of 2 n elements, each of the same weight in both
+        half, whole = np.arange(n, dtype=U), np.arange(2 * n, dtype=U)
+        for weight in (1.0, 3.0):
+            assert near_dedup.alike((half, np.full(n, weight)), [(whole, np.full(2 * n, weight))], 0.5).all()
+    sets = [(np.sort(rng.choice(60, 30, False)).astype(U), rng.integers(1, 4, 30).astype(float)) for _ in range(60)]
+    for threshold in (0.2, 0.3):
+        for own in sets:
+            assert near_dedup.alike(own, sets, threshold).tolist() == [near_dedup.probability_jaccard(own, s) >= threshold - 1e-12 for s in sets]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     assert {(r["node"], r["root"]) for r in near_dedup.components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
