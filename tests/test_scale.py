@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import catalogue
-from weftgraph.operators import communities, fast_graph, provenance
+from weftgraph.operators import communities, fast_graph, modularity, provenance
 from weftgraph.schema import conform, empty
 
 TABLES = "/root/testdata/sf0.001"
@@ -121,3 +123,36 @@ def test_titles_are_looked_up_as_written_first(spark):
     # two joins of the relationships, before four
     assert plan(communities.entity_edges(entities, relations)).count("LogicalRDD") <= 9
     assert [(r["src"], r["dst"], r["weight"]) for r in communities.entity_graph(entities, relations).collect()] == [("e2", "e3", 2.0)]
+
+
+def test_edges_may_stay_in_blocks(spark, monkeypatch):
+    """A graph of two groups and 600 nodes: the same parts in arrays and in blocks of 7 edges, whether communities are gathered or not."""
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 600, 2500), r.integers(0, 600, 2500)
+    pairs = sorted({(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b) if x != y and x % 2 == y % 2})
+    nodes = pd.DataFrame({"path": [f"p{i % 2}" for i in range(600)], "id": [f"n{i:03}" for i in range(600)]})
+    edges = pd.DataFrame({"src": [f"n{x:03}" for x, _ in pairs], "dst": [f"n{y:03}" for _, y in pairs], "weight": r.integers(1, 9, len(pairs)) * 65536})
+    want = modularity.split_in_arrays(nodes, edges)
+    assert 4 < want["part"].nunique() < 300
+    given = spark.createDataFrame(edges)
+    monkeypatch.setattr(modularity, "BLOCK", 7)
+    for kernel_edges in (0, 10**6):
+        assert modularity.split_in_blocks(nodes, given, kernel_edges).equals(want)
+
+
+def test_rows_of_blocks_end_with_a_node(monkeypatch):
+    monkeypatch.setattr(modularity, "BLOCK", 3)
+    u = np.array([0, 0, 1, 1, 1, 1, 1, 2, 5, 5], np.int32)
+    batch = modularity.pa.record_batch({"u": u, "v": u, "w": u.astype(np.int64)})
+    rows = [np.frombuffer(x["u"][0].as_py(), np.int32).tolist() for x in modularity._packed(iter([batch, batch.slice(0, 0)]))]
+    assert sum(rows, []) == u.tolist() and len(rows) > 2 and all(x[-1] != y[0] for x, y in zip(rows, rows[1:]))
+    assert not list(modularity._packed(iter([])))
+
+
+def test_more_nodes_than_may_be_gathered(spark):
+    """Beyond the nodes that may be gathered all is done as tables."""
+    edges = [("a1", "a2", 1.0), ("a2", "a3", 1.0), ("a1", "a3", 1.0), ("a3", "b1", 0.5), ("b1", "b2", 2.0)]
+    nodes = spark.createDataFrame([("x", n) for n in ("a1", "a2", "a3", "b1", "b2", "c1")], "path string, id string")
+    given = spark.createDataFrame(edges, "src string, dst string, weight double")
+    found = [sorted(tuple(r) for r in communities.split(nodes, given, *most).collect()) for most in ((10**9, 10**9), (0, 10**9), (0, 0))]
+    assert found[0] == found[1] == found[2] and {part for _, _, part in found[0]} == {"a1", "b1", "c1"}
