@@ -63,7 +63,8 @@ def test_pairs_are_shuffled_once_as_lists(spark):
     phrases = phrases_of(spark, [["A b", "B c", "C d"], ["A b", "C d"]])
     found = plan(fast_graph.relationships(phrases, fast_graph.entities(phrases)))
     above, _, below = found.partition("Generate posexplode(transform(split(")
-    assert below and "Join" not in above and "Join" in below and above.count("Aggregate") == 1
+    assert below.count("RepartitionByExpression [a#") == 1 and "part#" in below and below.partition("RepartitionByExpression [a#")[2].partition("\n")[0].strip().endswith(", 8")
+    assert "Join" not in above and "Join" in below and above.count("Aggregate") == 1
 
 
 def test_units_sharing_titles(spark):
